@@ -83,7 +83,7 @@ class Fingerprints:
 
     def __init__(self, parts: int, shingle: int) -> None:
         self.parts, self.shingle = parts, shingle
-        self.longs = max(2, -(-parts * 23 // 64))
+        self.longs = max(SKETCH, -(-parts * 23 // 64))
         self.seeds = _spread(np.arange(1, self.longs + 1, dtype=np.uint64) * _MIX)
         self.turns = _spread(np.arange(101, 101 + parts, dtype=np.uint64) * _MIX) | np.uint64(1)
         self.hashes: dict[str, int] = {}
@@ -136,7 +136,10 @@ class Fingerprints:
         return all_keys[index >= 0].view(np.int64).tolist()
 
 
-FEATURES = "id string, doc long, h1 long, h2 long, s1 long, s2 long, sequences array<long>, keys array<long>"
+#: Longs of sketch that travel with each key.
+SKETCH = 4
+_S = [f"s{i}" for i in range(SKETCH)]
+FEATURES = f"id string, doc long, h1 long, h2 long, {', '.join(f'{s} long' for s in _S)}, sequences array<long>, keys array<long>"
 
 
 def features(records: DataFrame, fields: list[str], parts: int = 20, shingle: int = 3, least_words: int = 20, key: str = "id") -> DataFrame:
@@ -146,41 +149,41 @@ def features(records: DataFrame, fields: list[str], parts: int = 20, shingle: in
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp = Fingerprints(parts, shingle)
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("id", "doc", "h1", "h2", "s1", "s2", "sequences", "keys")}
+            out: dict[str, list] = {k: [] for k in ("id", "doc", "h1", "h2", *_S, "sequences", "keys")}
             for i, t in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
                 w = fp.words(t)
                 if len(w) < max(least_words, shingle):
                     continue
                 seq = fp.sequences(w)
                 bits = fp.bits(w)
-                sketch = np.packbits(bits[:128]).view(np.int64)
+                sketch = np.packbits(bits[:SKETCH * 64]).view(np.int64).tolist()
                 body = seq.tobytes()
-                row = (i, xxhash.xxh64_intdigest(i) - 2**63, xxhash.xxh64_intdigest(body) - 2**63, xxhash.xxh64_intdigest(body, 1) - 2**63, int(sketch[0]), int(sketch[1]), seq.tolist(), fp.keys(bits, seq))
+                row = (i, xxhash.xxh64_intdigest(i) - 2**63, xxhash.xxh64_intdigest(body) - 2**63, xxhash.xxh64_intdigest(body, 1) - 2**63, *sketch, seq.tolist(), fp.keys(bits, seq))
                 for c, v in zip(out, row):
                     out[c].append(v)
-            kinds = [pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64())]
+            kinds = [pa.string(), *[pa.int64()] * (3 + SKETCH), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_pydict({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)})
 
     return spread(records.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), text.alias("text"))).mapInArrow(make, FEATURES)
 
 
-def near_duplicates(records: DataFrame, fields: list[str], least: float = 0.5, parts: int = 20, shingle: int = 3, least_words: int = 20, most_bits: int = 46, expand: int = 64, key: str = "id") -> DataFrame:
+def near_duplicates(records: DataFrame, fields: list[str], least: float = 0.5, parts: int = 20, shingle: int = 3, least_words: int = 20, most_bits: int = 82, expand: int = 64, key: str = "id") -> DataFrame:
     """``(id_a, id_b)``, id_a < id_b: records whose sets of distinct ``shingle``-word sequences have Jaccard similarity >= ``least``.
 
     One row per ``key`` is expected. Every pair that comes out is exact; a pair is missed only if no part agrees (see the
     README for recall). Sets that are equal form a class. A class of up to ``expand`` members
     is written out in all its pairs; a larger one as pairs of its representative (smallest id) with each member, and only
     the representative is paired with other classes, so no link between different texts is lost.
-    ``most_bits``: of the 128 sketch bits, how many may differ before the exact test.
+    ``most_bits``: of the 256 sketch bits, how many may differ before the exact test.
     """
     f = written(features(records, fields, parts, shingle, least_words, key), "fingerprints")
     classes = written(f.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     members = lookup_join(f.select("id", "h1", "h2"), classes.withColumn("size", F.col("n")), ["h1", "h2"], "n").select("id", "rep", "size")
     members = written(members, "members")
     reps = f.join(members.where("id = rep").select("id"), "id", "left_semi")
-    filed = reps.select("doc", "s1", "s2", F.explode("keys").alias("key"))
-    a, b = (filed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", "s1", "s2")]) for x in "ab")
-    apart = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
+    filed = reps.select("doc", *_S, F.explode("keys").alias("key"))
+    a, b = (filed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", *_S)]) for x in "ab")
+    apart = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _S), F.lit(0))
     candidates = a.join(b, [a["key"] == b["key"], F.col("doc_a") < F.col("doc_b"), apart <= most_bits]).select("doc_a", "doc_b").distinct()
     one, two = (reps.select(F.col("doc").alias(f"doc_{x}"), F.col("id").alias(f"id_{x}"), F.col("sequences").alias(f"q_{x}")) for x in "ab")
     common = F.size(F.array_intersect("q_a", "q_b"))
