@@ -57,8 +57,7 @@ class Analyzer:
         if self.min_token_length > 1:
             out = F.filter(out, lambda x: F.length(x) >= self.min_token_length)
         if self.remove_stopwords:
-            stops = F.array(*[F.lit(w) for w in STOPWORDS])
-            out = F.filter(out, lambda x: ~F.array_contains(stops, x))
+            out = F.filter(out, lambda x: ~x.isin(STOPWORDS))
         return _stemmed(out) if self.stem else out
 
     def analyze_text(self, text: str | None) -> list[str]:

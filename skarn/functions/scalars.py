@@ -81,7 +81,7 @@ def parse_interval(text: Column) -> Column:
 
 
 def format_duration(seconds: Column) -> Column:
-    seconds = F.greatest(seconds, F.lit(0.0))
+    seconds = F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0.0)))
     return (F.when(seconds < 60, F.format_string("%.0fs", seconds)).when(seconds < 3600, F.format_string("%.1f minutes", seconds / 60))
             .when(seconds < 86400, F.format_string("%.1f hours", seconds / 3600)).otherwise(F.format_string("%.1f days", seconds / 86400)))
 

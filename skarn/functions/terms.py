@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,10 +21,23 @@ def terms(text: Column) -> Column:
     return F.filter(tokens(text), lambda t: t.rlike("[a-z]"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once: inside lambda functions an expression is computed again wherever it stands."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def runs(ordered: Column, of: Callable[[Column], Column], make: Callable[[Column, Column, Column], Column]) -> Column:
+    """``make(ordered, start, end)`` of each run of elements with equal ``of`` in an ordered array, in linear time."""
+
+    def body(a: Column) -> Column:
+        at = lambda i: of(F.get(a, i))
+        starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+        return let(starts, lambda s: F.transform(s, lambda x, i: make(a, x, F.coalesce(F.get(s, i + 1), F.size(a)))))
+
+    return let(ordered, lambda a: F.when(F.size(a) > 0, body(a)))
+
+
 def term_counts(sorted_terms: Column) -> Column:
-    """A sorted array as ``array<struct<term, n>>``: one entry per distinct element, in linear time."""
-    at = lambda i: F.get(sorted_terms, i)
-    starts = F.filter(F.sequence(F.lit(0), F.size(sorted_terms) - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
-    ends = lambda i, s: F.coalesce(F.get(s, i + 1), F.size(sorted_terms))
-    counted = F.transform(starts, lambda x, i: F.struct(at(x).alias("term"), (ends(i, starts) - x).alias("n")))
-    return F.when(F.size(sorted_terms) > 0, counted).otherwise(F.array().cast("array<struct<term:string,n:int>>"))
+    """A sorted array as ``array<struct<term, n>>``: one entry per distinct element."""
+    counted = runs(sorted_terms, lambda x: x, lambda a, x, end: F.struct(F.get(a, x).alias("term"), (end - x).alias("n")))
+    return F.coalesce(counted, F.array().cast("array<struct<term:string,n:int>>"))

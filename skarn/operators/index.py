@@ -14,19 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.analyzer import Analyzer
+from skarn.functions.terms import runs
 from skarn.plans.schema import CollectionSchema, field_texts
 
 
 def term_positions(terms: Column) -> Column:
     """Terms in order as ``array<struct<term, positions>>``, one entry per distinct term, in linear time after a sort."""
     pairs = F.array_sort(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-    return F.when(F.size(terms) > 0, _grouped(pairs)).otherwise(F.array().cast("array<struct<term:string,positions:array<int>>>"))
-
-
-def _grouped(pairs: Column) -> Column:
-    at = lambda i: F.get(pairs, i)
-    starts = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: (i == 0) | (at(i)["term"] != at(i - 1)["term"]))
-    return F.transform(starts, lambda x, j: F.struct(at(x)["term"].alias("term"), F.transform(F.slice(pairs, x + 1, F.coalesce(F.get(starts, j + 1), F.size(pairs)) - x), lambda p: p["pos"]).alias("positions")))
+    found = runs(pairs, lambda p: p["term"], lambda a, x, end: F.struct(F.get(a, x)["term"].alias("term"), F.transform(F.slice(a, x + 1, end - x), lambda p: p["pos"]).alias("positions")))
+    return F.coalesce(found, F.array().cast("array<struct<term:string,positions:array<int>>>"))
 
 
 @dataclass

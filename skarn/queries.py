@@ -428,8 +428,8 @@ _TF = f"""WITH {_LAB}, tt AS (SELECT doc_id, unnest({_analyzed('text')}) AS term
     fe AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 5000)"""
 _VEC = f"""{_TF}, wr AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM lab)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN fe USING (term)),
     vec AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM wr)"""
-_POINTS = """WITH p AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS at FROM embeddings WHERE label IS NOT NULL),
-    ce AS (SELECT label AS cluster, at, avg(x) AS c FROM p GROUP BY ALL), di AS (SELECT vec_id, label, cluster, sqrt(sum((x - c) * (x - c))) AS d FROM p JOIN ce USING (at) GROUP BY ALL),
+_POINTS = """WITH p AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS ax FROM embeddings WHERE label IS NOT NULL),
+    ce AS (SELECT label AS cluster, ax, avg(x) AS c FROM p GROUP BY ALL), di AS (SELECT vec_id, label, cluster, sqrt(sum((x - c) * (x - c))) AS d FROM p JOIN ce USING (ax) GROUP BY ALL),
     ne AS (SELECT vec_id, label, cluster, d AS nearest, lead(d) OVER (PARTITION BY vec_id ORDER BY d) AS second, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) AS k FROM di),
     na AS (SELECT *, CASE WHEN second IS NULL OR second = 0 THEN 0 ELSE 1 - nearest / second END AS margin FROM ne WHERE k = 1)"""
 

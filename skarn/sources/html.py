@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skarn.functions.terms import let
 from skarn.functions.scalars import author_key, slugify, url_slug, year_of
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -153,15 +154,19 @@ def paired(names, profiles):  # noqa: ANN001, ANN201
     """
     links = F.transform(profiles, lambda u: F.struct(u.alias("url"), url_slug(u).alias("slug"), author_key(url_slug(u)).alias("key")))
     marked = F.transform(names, lambda n, i: F.struct(n.alias("name"), slugify(n).alias("slug"), author_key(n).alias("key"), i.alias("i")))
-    first = lambda m: ~F.exists(marked, lambda o: (o["slug"] == m["slug"]) & (o["i"] < m["i"]))
-    left = F.filter(links, lambda x: ~F.exists(marked, lambda m: m["slug"] == x["slug"]))
 
-    def url(m):  # noqa: ANN001, ANN202
-        exact = F.filter(links, lambda x: x["slug"] == m["slug"])
+    def pair(m, k, all_links, left):  # noqa: ANN001, ANN202
+        exact = F.filter(all_links, lambda x: x["slug"] == m["slug"])
+        first = ~F.exists(k, lambda o: (o["slug"] == m["slug"]) & (o["i"] < m["i"]))
         fits = F.filter(left, lambda x: x["key"] == m["key"])
-        return F.when((F.size(exact) > 0) & first(m), F.element_at(exact, -1)["url"]).when(F.size(fits) == 1, F.get(fits, F.lit(0))["url"]).otherwise("")
+        url = F.when((F.size(exact) > 0) & first, F.element_at(exact, -1)["url"]).when(F.size(fits) == 1, F.get(fits, F.lit(0))["url"]).otherwise("")
+        return F.struct(m["name"].alias("name"), url.alias("profile_url"))
 
-    return F.transform(marked, lambda m: F.struct(m["name"].alias("name"), url(m).alias("profile_url")))
+    def body(k, x):  # noqa: ANN001, ANN202
+        left = F.filter(x, lambda y: ~F.exists(k, lambda m: m["slug"] == y["slug"]))
+        return let(left, lambda rest: F.transform(k, lambda m: pair(m, k, x, rest)))
+
+    return let(marked, lambda k: let(links, lambda x: body(k, x)))
 
 
 def pair_authors(pubs: DataFrame) -> DataFrame:
