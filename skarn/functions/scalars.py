@@ -81,9 +81,10 @@ def parse_interval(text: Column) -> Column:
 
 
 def format_duration(seconds: Column) -> Column:
-    seconds = F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0.0)))
-    return (F.when(seconds < 60, F.format_string("%.0fs", seconds)).when(seconds < 3600, F.format_string("%.1f minutes", seconds / 60))
-            .when(seconds < 86400, F.format_string("%.1f hours", seconds / 3600)).otherwise(F.format_string("%.1f days", seconds / 86400)))
+    s = F.greatest(seconds, F.lit(0.0))
+    said = (F.when(s < 60, F.format_string("%.0fs", s)).when(s < 3600, F.format_string("%.1f minutes", s / 60))
+            .when(s < 86400, F.format_string("%.1f hours", s / 3600)).otherwise(F.format_string("%.1f days", s / 86400)))
+    return F.when(seconds.isNotNull(), said)
 
 
 def seconds_until_due(last: Column, now: Column, interval: Column) -> Column:
