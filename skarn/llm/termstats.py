@@ -69,7 +69,7 @@ def term_scores(records: DataFrame, fields: list[str], key: str = "id", k1: floa
         mean = (counts.agg(F.sum("_tf")).first()[0] or 1) / max(n, 1)
         weight = idf(F.col("df"), F.lit(n), form) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
     rows = rows.select(*columns)
-    joined = rows.join(hot, "term").select(*columns, "df").unionByName(rows.join(tail, "term").select(*columns, "df"))
+    joined = rows.join(hot, "term").select(*columns, "df").unionByName(rows.join(hot, "term", "left_anti").join(tail, "term").select(*columns, "df"))
     return joined.select(key, "term", F.col("tf").cast("long").alias("tf"), "df", F.round(weight, 6).alias("score"))
 
 
