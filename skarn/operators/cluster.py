@@ -12,7 +12,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +24,7 @@ from skarn.sources.files import read_text, replace_text
 
 
 @F.udf(VectorUDT())  # there is no built-in from arrays to a sparse vector; only fits use it
-def _sparse(size: int, indices: list[int], values: list[float]) -> SparseVector:
+def _sparse(size, indices, values):  # noqa: ANN001, ANN202
     return Vectors.sparse(size, indices, values)
 
 
