@@ -92,7 +92,7 @@ class Fingerprints:
 
     def words(self, text: str) -> np.ndarray:
         known = self.hashes
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
             self.signs.clear()
         out = []
