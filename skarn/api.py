@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import threading
 import time
+from collections.abc import Callable
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from skarn.collection import Collection
 from skarn.operators import browse
 from skarn.operators.cluster import ClusterModel
 from skarn.operators.ranking import SCORERS
+from skarn.sources.files import exists
 
 LISTED = ["id", "title", "authors", "abstract", "journal", "year", "url", "doi"]
 
@@ -72,3 +76,26 @@ def classify(collection_or_spark, model: ClusterModel, text: str) -> dict:  # no
         raise ValueError("the text must have 1 to 20,000 characters")
     spark = getattr(collection_or_spark, "spark", collection_or_spark)
     return model.predict(spark.createDataFrame([(0, text)], "doc_id long, text string")).drop("doc_id").first().asDict(recursive=True)
+
+
+class ClusterService:
+    """A cluster model that is loaded, or built and saved, when it is first asked for; safe for several threads."""
+
+    def __init__(self, spark: SparkSession, path: str, build: Callable[[], ClusterModel]) -> None:
+        self.spark, self.path, self.build = spark, path, build
+        self._lock = threading.Lock()
+        self._model: ClusterModel | None = None
+
+    def model(self) -> ClusterModel:
+        if self._model is None:
+            with self._lock:
+                if self._model is None:
+                    if exists(self.spark, self.path):
+                        self._model = ClusterModel.load(self.spark, self.path)
+                    else:
+                        self._model = self.build()
+                        self._model.save(self.spark, self.path)
+        return self._model
+
+    def classify(self, text: str) -> dict:
+        return classify(self.spark, self.model(), text)

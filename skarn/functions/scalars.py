@@ -116,3 +116,18 @@ def bar_width(value: Column, low: Column, high: Column) -> Column:
 
 def verdict(margin: Column, matched: Column) -> Column:
     return F.when(matched == 0, "no known terms").when(margin < 0.01, "too close to call").when(margin < 0.04, "a narrow call").otherwise("clear")
+
+
+def scaled(value: Column, low: Column, high: Column, size: float) -> Column:
+    """A place between 0 and ``size`` in a plot; a flat series is given a span of its own height, or 1."""
+    span = F.when(high != low, high - low).when(high != 0, F.abs(high)).otherwise(1.0)
+    return (value - low) / span * size
+
+
+def misplaced(category: Column, true_category: Column) -> Column:
+    return F.coalesce(category != true_category, F.lit(False))
+
+
+def metric_text(name: Column, value: Column) -> Column:
+    """Accuracy as a percentage with one decimal, others with three."""
+    return F.when(name == "accuracy", F.format_string("%.1f%%", value * 100)).otherwise(F.format_string("%.3f", value))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skarn.sources.files import replace_text
+
 # Folders of the archive and what they are called.
 FOLDERS = {"business": "Economics", "entertainment": "Entertainment", "politics": "Politics"}
 
@@ -54,3 +57,11 @@ def label_counts(docs: DataFrame, labels: list[str], label: str = "label") -> Da
     order = spark.createDataFrame(list(enumerate(labels)), f"position int, {label} string")
     n = docs.groupBy(label).agg(F.count(F.lit(1)).alias("documents"))
     return order.join(F.broadcast(n.where(F.col(label).isin(labels))), label, "left").select("position", label, F.coalesce("documents", F.lit(0)).alias("documents")).orderBy("position")
+
+
+def write_provenance(available: DataFrame, sampled: DataFrame, labels: list[str], source: str, path: str, seed: int = 42) -> dict:
+    """Write where a corpus comes from and how many texts of each label there are and were taken; returns what is written."""
+    counts = lambda df: {r.label: r.documents for r in label_counts(df, labels).collect()}
+    said = {"source": source, "seed": seed, "available": counts(available), "sampled": counts(sampled)}
+    replace_text(available.sparkSession, path, json.dumps(said, indent=1))
+    return said

@@ -1,10 +1,18 @@
+import threading
+from datetime import datetime, timedelta, timezone
+
 import pytest
+from pyspark.sql import functions as F
 
 from skarn import api
 from skarn.collection import Collection
 from skarn.functions.analyzer import Analyzer
+from skarn.functions import scalars
+from skarn.operators.cluster import ClusterModel, Vocabulary
 from skarn.plans.schema import PUBLICATIONS
 from skarn.sources.archive import PUBLICATION
+from skarn.sources.corpus import write_provenance
+from skarn.sources.schedule import JobState, run_forever
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +41,43 @@ def test_surface(publications):
     assert api.documents(publications, "1", "1")["documents"][0]["id"] == "pub/2"
     assert api.documents(publications, contains="ALICE")["total"] == 2 and api.documents(publications, contains="learnings")["total"] == 0
     assert api.describe(publications)["log_entries"] == 3 and len(api.reload(publications)) == 3
+
+
+def test_schedule(spark, tmp_path):
+    state = JobState(spark, f"file://{tmp_path}/state.json")
+    (tmp_path / "state.json").write_text("not json")
+    assert state.read() == {} and state.is_due(60) and state.next_run(60) is None
+    stop, seen = threading.Event(), []
+
+    def job():
+        seen.append(1)
+        if len(seen) == 1:
+            raise RuntimeError("once")
+        stop.set()
+
+    assert run_forever(job, state, 0.0, stop) == 2
+    state.write(last_run="2026-01-01T00:00:00+05:45")
+    at = datetime(2025, 12, 31, 18, 15, tzinfo=timezone.utc)
+    assert state.seconds_until_due(60, at + timedelta(seconds=20)) == 40 and state.next_run(60) == at + timedelta(seconds=60) and state.read()["error"] == "once"
+
+
+def test_service(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return ClusterModel(Vocabulary(["art", "bank"], [1.0, 1.0]), [[1.0, 0.0], [0.0, 1.0]], {0: "Arts", 1: "Money"}, Analyzer(stem=False))
+
+    path = f"file://{tmp_path}/m.json"
+    assert api.ClusterService(spark, path, build).classify("the bank")["category"] == "Money"
+    assert api.ClusterService(spark, path, build).classify("art bank art")["category"] == "Arts" and built == [1]
+    with pytest.raises(ValueError):
+        api.ClusterService(spark, path, build).classify("")
+
+
+def test_provenance_and_plots(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, label string")
+    assert write_provenance(docs, docs.limit(0), ["a", "b"], "x.zip", f"file://{tmp_path}/p.json") == {"source": "x.zip", "seed": 42, "available": {"a": 2, "b": 1}, "sampled": {"a": 0, "b": 0}}
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(scalars.scaled(F.lit(3.0), F.lit(1.0), F.lit(5.0), 100.0)) == 50.0 and one(scalars.scaled(F.lit(4.0), F.lit(4.0), F.lit(4.0), 10.0)) == 0.0
+    assert one(scalars.metric_text(F.lit("accuracy"), F.lit(0.968))) == "96.8%" and one(scalars.misplaced(F.lit("a"), F.lit("b"))) is True
