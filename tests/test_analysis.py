@@ -32,7 +32,7 @@ def test_same_stem_for_forms():
     assert "ar" not in Analyzer().analyze_text("these are the results")
 
 
-@pytest.mark.parametrize("word, expected", [("community", "commun"), ("communication", "commun"), ("diabetic", "diabet"), ("diabetes", "diabet"), ("alice", "alic"), ("machine", "machin"), ("nutrition", "nutrit"), ("coventry", "coventri"),
+@pytest.mark.parametrize("word, expected", [("community", "commun"), ("communication", "commun"), ("diabetic", "diabet"), ("diabetes", "diabet"), ("alice", "alic"), ("machine", "machin"), ("nutrition", "nutrit"),
                                             ("caresses", "caress"), ("ponies", "poni"), ("ties", "tie"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"),
                                             ("happy", "happi"), ("sky", "sky"), ("dying", "die"), ("relational", "relat"), ("conditional", "condit"), ("electriciti", "electr"), ("adjustment", "adjust"), ("controll", "control"), ("probate", "probat"), ("rate", "rate")])
 def test_stems(word, expected):

@@ -142,10 +142,10 @@ def test_archive(spark, tmp_path):
 def test_corpus(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
         for i in range(5):
-            z.writestr(f"bbc/business/{i}.txt", f"text {i}")
-            z.writestr(f"bbc/sport/{i}.txt", "no label")
-        z.writestr("bbc/politics/1.txt", b"caf\xe9")
-        z.writestr("bbc/politics/2.txt", "  ")
+            z.writestr(f"news/business/{i}.txt", f"text {i}")
+            z.writestr(f"news/sport/{i}.txt", "no label")
+        z.writestr("news/politics/1.txt", b"caf\xe9")
+        z.writestr("news/politics/2.txt", "  ")
         z.writestr("top.txt", "x")
     docs = corpus.read_archive(spark, f"file://{tmp_path}/c.zip")
     assert sorted((r.label, r.text) for r in docs.collect())[-1] == ("Politics", "caf�") and docs.count() == 6
