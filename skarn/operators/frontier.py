@@ -19,15 +19,20 @@ URLS = "url string"
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """``(url, depth)`` of everything reachable from ``seeds(url)`` over ``edges(src, dst)``, with its least depth."""
+    """``(url, depth)`` of everything reachable from ``seeds(url)`` over ``edges(src, dst)``, with its least depth.
+
+    Each round writes its new URLs; the rounds so far are merged into one table every ten rounds.
+    """
     frontier = written(seeds.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)), "frontier")
     visited = frontier
     for depth in range(1, most_rounds + 1):
-        if not frontier.limit(1).count():
+        if frontier.isEmpty():
             break
         fresh = edges.join(frontier.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).where("url is not null").distinct().join(visited.select("url"), "url", "left_anti")
         frontier = written(fresh.withColumn("depth", F.lit(depth)), "frontier")
-        visited = written(visited.unionByName(frontier), "visited")
+        visited = visited.unionByName(frontier)
+        if depth % 10 == 0:
+            visited = written(visited, "visited")
     return visited
 
 

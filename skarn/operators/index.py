@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from skarn.functions.analyzer import Analyzer
 from skarn.functions.terms import runs
 from skarn.plans.schema import CollectionSchema, field_texts
+from skarn.session import written
 
 
 def term_positions(terms: Column) -> Column:
@@ -102,11 +103,14 @@ class Index:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "fields", "docs")), schema, analyzer)
 
 
-def build_index(docs: DataFrame, schema: CollectionSchema, analyzer: Analyzer, doc: str = "internal_id") -> Index:
-    """The index of a table with one row per ``doc``. A null field is skipped, an empty one has length 0."""
+def build_index(docs: DataFrame, schema: CollectionSchema, analyzer: Analyzer, doc: str = "internal_id", keep: bool = False) -> Index:
+    """The index of a table with one row per ``doc``. A null field is skipped, an empty one has length 0.
+
+    With ``keep`` the analysis is written once to the shared folder, for an index that is read several times.
+    """
     texts = field_texts(docs.where(F.col(doc).isNotNull()), schema, doc)
     analyzed = texts.select("doc", "field", analyzer.analyze(F.col("text")).alias("terms"))
-    return _index(analyzed, docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc")), schema, analyzer)
+    return _index(analyzed, docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc")), schema, analyzer, keep)
 
 
 def index_from_terms(analyzed: DataFrame, schema: CollectionSchema, analyzer: Analyzer | None = None) -> Index:
@@ -114,10 +118,12 @@ def index_from_terms(analyzed: DataFrame, schema: CollectionSchema, analyzer: An
     return _index(analyzed, analyzed.select("doc").distinct(), schema, analyzer or Analyzer())
 
 
-def _index(analyzed: DataFrame, docs: DataFrame, schema: CollectionSchema, analyzer: Analyzer) -> Index:
+def _index(analyzed: DataFrame, docs: DataFrame, schema: CollectionSchema, analyzer: Analyzer, keep: bool = False) -> Index:
     grouped = analyzed.select("doc", "field", F.size("terms").alias("length"), term_positions(F.col("terms")).alias("found"))
     norm = F.sqrt(F.aggregate("found", F.lit(0.0), lambda a, x: a + F.pow(1 + F.log10(F.size(x["positions"])), F.lit(2.0))))
     fields = grouped.select("doc", "field", "length", norm.alias("norm"), "found")
+    if keep:
+        fields = written(fields, "analysis")
     postings = fields.select("doc", "field", "length", "norm", F.explode("found").alias("_p")).select(
         F.col("_p.term").alias("term"), "doc", "field", F.size("_p.positions").alias("tf"), F.col("_p.positions").alias("positions"), "length", "norm")
     return Index(postings, fields.drop("found"), docs, schema, analyzer)

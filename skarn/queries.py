@@ -15,7 +15,7 @@ from skarn.operators.frontier import reachable
 from skarn.operators.index import Index, build_index
 from skarn.operators.snapshots import changed_values, snapshot_changes
 from skarn.plans.schema import PUBLICATIONS
-from skarn.session import written
+from skarn.session import spread, written
 from skarn.sources.archive import search_documents, split_valid
 from skarn.sources.corpus import balanced_sample, label_counts
 
@@ -55,9 +55,8 @@ def _publications(spark: SparkSession, d: str) -> DataFrame:
 
 def _index(spark: SparkSession, d: str, analyzer: Analyzer = PLAIN) -> Index:
     """The index of the current publications, written once per query as a service would keep it."""
-    docs = written(_publications(spark, d).select("id", "title", "authors", "abstract", "journal"), "documents")
-    index = build_index(docs, PUBLICATIONS, analyzer, "id")
-    return Index(written(index.postings, "postings"), written(index.fields, "fields"), index.docs, PUBLICATIONS, analyzer)
+    docs = written(spread(_publications(spark, d).select("id", "title", "authors", "abstract", "journal")), "documents")
+    return build_index(docs, PUBLICATIONS, analyzer, "id", keep=True)
 
 
 def analyze_terms(spark: SparkSession, d: str) -> DataFrame:
