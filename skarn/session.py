@@ -7,8 +7,11 @@ session without that setting gets a folder of its own.
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +53,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, once per context, as a zip in the shared folder: for clusters and sessions whose workers don't have it on their path."""
+    from skarn.sources.files import write_bytes
+
+    sc = spark.sparkContext
+    if getattr(sc, "_skarn_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    path = f"{scratch_dir(spark)}/skarn/code-{uuid.uuid4().hex}/skarn.zip"
+    write_bytes(spark, path, packed.getvalue())
+    sc.addPyFile(path)
+    sc._skarn_shipped = True
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a table in the shared folder: computed once, read many times."""
     spark = df.sparkSession

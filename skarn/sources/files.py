@@ -43,13 +43,17 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file beside its place and move it there."""
-    p, fs = _fs(spark, path + ".tmp")
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    p, fs = _fs(spark, path)
     fs.mkdirs(p.getParent())
     out = fs.create(p, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(data))
     finally:
         out.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside its place and move it there."""
+    write_bytes(spark, path + ".tmp", text.encode())
     rename(spark, path + ".tmp", path)

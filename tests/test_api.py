@@ -81,3 +81,12 @@ def test_provenance_and_plots(spark, tmp_path):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(scalars.scaled(F.lit(3.0), F.lit(1.0), F.lit(5.0), 100.0)) == 50.0 and one(scalars.scaled(F.lit(4.0), F.lit(4.0), F.lit(4.0), 10.0)) == 0.0
     assert one(scalars.metric_text(F.lit("accuracy"), F.lit(0.968))) == "96.8%" and one(scalars.misplaced(F.lit("a"), F.lit("b"))) is True
+
+
+def test_code_is_shipped_once(spark):
+    from skarn.session import ship_code
+
+    ship_code(spark)
+    first = list(spark.sparkContext._python_includes)
+    ship_code(spark)
+    assert spark.sparkContext._python_includes == first and "skarn.zip" in first
