@@ -46,7 +46,7 @@ def p3_values(spark: SparkSession, d: str) -> DataFrame:
     """The fields that changed with their old and new values, as stored."""
     rows = _table(spark, d, "crawl_records")
     order = _finished(spark, d)
-    return changed_values(snapshot_changes(rows, order, COMPARED, ["authors"]), rows, order, ["title", "journal", "year", "doi"])
+    return changed_values(snapshot_changes(rows, order, COMPARED, ["authors"]), rows, order, [*COMPARED, "authors"])
 
 
 def _publications(spark: SparkSession, d: str) -> DataFrame:

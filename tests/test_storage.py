@@ -1,5 +1,6 @@
 import json
 import zipfile
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from skarn.operators import log
 from skarn.operators.current import current_records
 from skarn.operators.snapshots import changed_values, snapshot_changes
 from skarn.plans.schema import CollectionSchema, Field
+from skarn.queries import p3_values
 from skarn.session import lookup_join, written
 from skarn.sources import archive, corpus
 from skarn.sources.files import exists, replace_text
@@ -151,3 +153,13 @@ def test_corpus(spark, tmp_path):
     assert sorted((r.label, r.text) for r in docs.collect())[-1] == ("Politics", "caf�") and docs.count() == 6
     assert corpus.balanced_sample(docs, 2).count() == 3 and corpus.balanced_sample(docs, None).count() == 6
     assert [(r.label, r.documents) for r in corpus.label_counts(docs, ["Economics", "Entertainment", "Politics"]).collect()] == [("Economics", 5), ("Entertainment", 0), ("Politics", 1)]
+
+
+def test_values_of_every_compared_field(spark, tmp_path):
+    spark.createDataFrame([("1", datetime(2026, 1, 1), datetime(2026, 1, 2)), ("2", datetime(2026, 2, 1), datetime(2026, 2, 2))], "crawl_id string, started_at timestamp, finished_at timestamp").write.parquet(f"{tmp_path}/crawls.parquet")
+    base = {"title": "t", "abstract": "a", "journal": "j", "year": "2020", "doi": "d", "keywords": "k", "authors": ["A B"]}
+    other = {f: ["A B", "C D"] if f == "authors" else "new" for f in base}
+    rows = [(c, f, *(base | ({f: other[f]} if c == "2" else {})).values(), None) for f in base for c in "12"]
+    spark.createDataFrame(rows, "crawl_id string, id string, title string, abstract string, journal string, year string, doi string, keywords string, authors array<string>, crawled_at string").write.parquet(f"{tmp_path}/crawl_records.parquet")
+    got = {(r.id, r.field_name, r.old_value, r.new_value) for r in p3_values(spark, str(tmp_path)).collect()}
+    assert got == {(f, f, *(json.dumps(x[f], separators=(",", ":")) if f == "authors" else x[f] for x in (base, other))) for f in base}
