@@ -166,3 +166,15 @@ def test_residue_table(spark):
 
 def test_leaves_split_sentences():
     assert [n.text for n in leaves(parse("One. Two.\n<p>x</p>")[0]) if n.tag == "#text"] == ["One.", "Two."]
+
+
+def test_wrapper_at_every_depth_and_layout(spark):
+    framed = lambda i: f"<html><body><div><ul><li>Home</li><li>Contact us</li></ul><div><h2>Study {i}</h2><p>All data are ours. Own text {i}.</p></div></div><div>All rights reserved</div></body></html>"
+    data = lambda i: f"<h2>Abstract</h2><p>Text {i}.</p><table><tr><th>Group</th><th>n</th></tr><tr><td>A</td><td>{i}</td></tr></table>"
+    second = lambda i: f"<table><tr><td>Site menu</td></tr></table><section><p>Case {i}.</p></section><footer>Second foot</footer>"
+    rows = [("publication", f"a{i}", "h", framed(i)) for i in range(400)] + [("publication", f"b{i}", "h", second(i)) for i in range(30)]
+    rows += [("publication", f"c{i}", "h", f"Contact us. Own words {i}.") for i in range(5)] + [("person", f"d{i}", "h", data(i)) for i in range(30)]
+    got = {r.record_id: r.text for r in clean_texts(spark.createDataFrame(rows, "kind string, id string, host string, text string")).collect()}
+    assert all(got[f"d{i}"] == f"# Abstract\nText {i}.\nGroup | n\nA | {i}" for i in range(30))
+    assert len(got) == 465 and all(got[f"a{i}"] == f"# Study {i}\nOwn text {i}." for i in range(400))
+    assert all(got[f"b{i}"] == f"Case {i}." for i in range(30)) and got["c1"] == "Contact us. Own words 1."
