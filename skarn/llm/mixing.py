@@ -1,8 +1,8 @@
 """Mixing sources to target weights (problem 9).
 
 Sizes are tokens of a public tokenizer. A source's share of the mix comes from its target
-weight, or from its share of all tokens raised to an exponent (a temperature) that is
-bisected until the mix has a given entropy or no source is repeated more than allowed.
+weight alone. The temperature (an exponent on the sizes, bisected until the tempered shares
+have the entropy of the target weights) is only reported; it doesn't make the mix.
 The shares are realised as whole passes over each source and a last, partial pass that
 takes hash-permuted blocks of documents up to the budget, without sorting any source.
 """
@@ -88,7 +88,8 @@ def plan_mix(sizes: dict[str, int], weights: dict[str, float], repeats: dict[str
 
     A source whose share of the budget is more than its size times its allowed repeats is capped there, and
     what it can't give goes to the others in proportion to their weights, until none is over its limit.
-    ``exponent`` is the temperature at which the sizes' own shares are as spread as the target weights.
+    The weights fix the shares; ``exponent``, the temperature at which the sizes' own shares are as spread as the
+    target weights, is only reported.
     """
     total_weight = sum(weights.values())
     budget = sum(sizes.get(s, 0) for s in weights)
