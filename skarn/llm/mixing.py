@@ -138,7 +138,7 @@ def realise(counts: DataFrame, plan: DataFrame, blocks: int = 256, seed: int = 0
     ``floor(repeats)`` whole passes take every document. The last pass takes the source's documents in a
     hash-permuted order up to the tokens that are left: first whole blocks (of ``blocks`` by hash, whose
     sizes are one row each), then within the block that holds the limit document by document, leaving out
-    the one that would exceed it and all after it. So no source is sorted as a whole.
+    only those that don't fit in what is left. So no source is sorted as a whole.
     """
     where = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks))
     p = plan.select("source", F.col("tokens").alias("_want"), F.when(F.col("size") > 0, F.floor(F.col("tokens") / F.col("size"))).otherwise(0).alias("_full"), (F.when(F.col("size") > 0, F.col("tokens") - F.floor(F.col("tokens") / F.col("size")) * F.col("size")).otherwise(0)).alias("_rest"))
@@ -148,8 +148,33 @@ def realise(counts: DataFrame, plan: DataFrame, blocks: int = 256, seed: int = 0
     starts = sums.select("source", "_block", before.alias("_before"), "_n")
     placed = docs.join(F.broadcast(starts), ["source", "_block"])
     inside = placed.where((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_n") > F.col("_rest")))
-    order = Window.partitionBy("source", "_block").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cut = inside.withColumn("_last", (F.col("_before") + F.sum("tokens").over(order) <= F.col("_rest")).cast("long"))
+    kept = ["source", "doc_id", "tokens", "_full", "_last"]
+    ordered = inside.withColumns({"_last": F.col("_rest") - F.col("_before"), "_order": F.xxhash64(F.lit(seed + 1), "doc_id")}).repartition("source").sortWithinPartitions("source", "_order", "doc_id").select(*kept)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: dict[str, int] = {}
+        for batch in batches:
+            last: list[int] = []
+            for source, tokens, room in zip(*(batch[c].to_pylist() for c in ("source", "tokens", "_last"))):
+                room = left.get(source, room)
+                fits = tokens <= room
+                left[source] = room - tokens if fits else room
+                last.append(int(fits))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(last, pa.int64())], names=kept)
+
+    cut = ordered.mapInArrow(fill, "source string, doc_id long, tokens long, _full long, _last long")
     whole = placed.where(~((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_n") > F.col("_rest")))).withColumn("_last", (F.col("_before") + F.col("_n") <= F.col("_rest")).cast("long"))
-    taken = whole.unionByName(cut).withColumn("copies", (F.col("_full") + F.col("_last")).cast("long"))
+    taken = whole.select(*kept).unionByName(cut).withColumn("copies", (F.col("_full") + F.col("_last")).cast("long"))
     return taken.where("copies > 0").select("source", "doc_id", "tokens", "copies")
+
+
+def reached(counts: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with ``tokens``, ``reached_share`` (of the budget) and ``repeats`` as measured on the mix of :func:`realise`."""
+    spark = counts.sparkSession
+    got = {r.source: int(r.n) for r in realise(counts, plan).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()}
+    rows = [r.asDict() for r in plan.collect()]
+    budget = sum(r["size"] for r in rows)
+    for r in rows:
+        n = got.get(r["source"], 0)
+        r |= {"tokens": n, "reached_share": n / budget if budget else 0.0, "repeats": n / r["size"] if r["size"] else 0.0}
+    return spark.createDataFrame([tuple(r.values()) for r in rows], PLAN)

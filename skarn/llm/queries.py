@@ -11,7 +11,7 @@ from skarn.llm.canon import map_to_canonical
 from skarn.llm.common import current, table
 from skarn.llm.leaks import find_leaks, leak_report
 from skarn.llm.markup import clean_texts
-from skarn.llm.mixing import mix_plan, realise, token_counts
+from skarn.llm.mixing import mix_plan, reached, realise, token_counts
 from skarn.llm.names import link_authors
 from skarn.llm.neardup import near_duplicates
 from skarn.llm.residue import find_residue, without_residue
@@ -91,11 +91,13 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mix_plan(written(token_counts(table(spark, d, "documents")), "token-counts"), table(spark, d, "mix_targets"))
+    """Target shares and the shares that the mix reaches, measured on it."""
+    counts = written(token_counts(table(spark, d, "documents")), "token-counts")
+    return reached(counts, mix_plan(counts, table(spark, d, "mix_targets")))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_shares(spark, d).where("limited").select("source")
+    return mix_plan(written(token_counts(table(spark, d, "documents")), "token-counts"), table(spark, d, "mix_targets")).where("limited").select("source")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skarn.llm.leaks import find_leaks, leak_report, myers, pieces
 from skarn.llm.markup import Node, clean_texts, leaves, parse, render, tree_match
-from skarn.llm.mixing import bisect_exponent, entropy, mix_plan, plan_mix, realise, tempered, token_counts
+from skarn.llm.mixing import PLAN as MIX, bisect_exponent, entropy, mix_plan, plan_mix, reached, realise, tempered, token_counts
 from skarn.llm.residue import Detector, find_residue, without_residue
 
 MARKED = ["<p>One</p>", "a <b>b</b>", "cut off <div class=\"te", "ends <br", "</span> x", "&lt;p&gt;a&lt;/p&gt;", "x<!-- c -->", "A &amp; B", "it &#8217;s", "## Head\n\nText", "see [this](https://a.b/c)", "**bold** text", "__start__ now", "~~gone~~ now",
@@ -178,3 +178,15 @@ def test_wrapper_at_every_depth_and_layout(spark):
     assert all(got[f"d{i}"] == f"# Abstract\nText {i}.\nGroup | n\nA | {i}" for i in range(30))
     assert len(got) == 465 and all(got[f"a{i}"] == f"# Study {i}\nOwn text {i}." for i in range(400))
     assert all(got[f"b{i}"] == f"Case {i}." for i in range(30)) and got["c1"] == "Contact us. Own words 1."
+
+
+def test_shares_are_measured_and_only_what_does_not_fit_is_skipped(spark):
+    counts = spark.createDataFrame([(i, "a", 10) for i in range(50)] + [(99, "a", 400)], "doc_id long, source string, tokens long")
+    for want in (100, 250, 390):
+        plan = spark.createDataFrame([("a", 900, 1.0, True, want, want / 900, want / 900, 1.0)], MIX)
+        for seed in range(3):
+            assert realise(counts, plan, blocks=1, seed=seed).agg(F.sum("tokens")).first()[0] == want
+    plan = spark.createDataFrame([("a", 900, 1.0, True, 105, 105 / 900, 105 / 900, 1.0)], MIX)
+    got = reached(counts, plan).first()
+    mix = realise(counts, plan).agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0]
+    assert got.tokens == mix and mix < 105 and got.reached_share == mix / 900 == got.repeats
