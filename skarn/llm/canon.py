@@ -48,7 +48,7 @@ def readings(value: str) -> list[str]:
         cut = shorter
         out.append(cut)
     parts = [p for p in (x.strip(" .;,") for x in _SPLIT.split(cut)) if p]
-    if 1 < len(parts) <= 6:
+    if len(parts) > 1:
         out += parts
         if len(parts) == 2:
             out.append(f"{parts[1]} {parts[0]}")

@@ -56,3 +56,9 @@ def test_parts():
     assert initials("I. J. D. S.") == "ijds" and initials("school") == "school" and initials("a") is None
     assert align(["rural", "caer"], ["care", "rural"], 2) == 1 and align(["rural", "care", "an"], ["rural", "care"], 2) == 1 and align(["a"], ["b", "c"], 2) == 3
     assert "Royal College of Ostmiwald" in readings("Ostmiwald, Royal College of")
+
+
+def test_address_of_many_parts(spark, refs):
+    parts = ["Room 4", "Floor 2", "Block C", "Holbaford Business School", "12 Mill Lane", "Old Town", "HB2 7XY", "Holbaford"]
+    assert set(parts) <= set(readings(", ".join(parts)))
+    assert match_values(spark.createDataFrame([("institution", ", ".join(parts))], "kind string, value string"), refs).first().ref_id == 3
