@@ -226,30 +226,51 @@ def silhouette(vectors: DataFrame, cluster: str = "cluster", column: str = "feat
     return ClusteringEvaluator(predictionCol=cluster, featuresCol=column, distanceMeasure="squaredEuclidean" if squared else "cosine").evaluate(vectors)
 
 
-def exact_silhouette(points: DataFrame, key: str, vector: str, cluster: str, most: int = 5000) -> DataFrame:
-    """``(key, silhouette)`` with Euclidean distances between all pairs. Quadratic, so raises above ``most`` points: the points are a stated, bounded set."""
-    rows = points.select(F.col(key).alias("k"), F.col(cluster).alias("c"), F.col(vector).alias("v")).limit(most + 1).collect()
-    if len(rows) > most:
+def _distance_sums(at: np.ndarray, of: np.ndarray, groups: int):  # noqa: ANN202
+    """A function of vector and sums that adds the distances to the points ``at`` by their groups ``of``."""
+
+    @F.pandas_udf("array<double>")
+    def add(v: pd.Series, sums: pd.Series) -> pd.Series:
+        return pd.Series([s + np.bincount(of, np.sqrt(((at - np.asarray(x, float)) ** 2).sum(axis=1)), groups) for x, s in zip(v, sums)])
+
+    return add
+
+
+def exact_silhouette(points: DataFrame, key: str, vector: str, cluster: str, most: int | None = None, block: int = 5000) -> DataFrame:
+    """``(key, silhouette)`` with Euclidean distances between all pairs, for any number of points; quadratic in time.
+
+    About ``block`` points at a time are sent to the tasks and compared with all points, whose sums of distances to each
+    cluster are carried along as an array. Raises above ``most`` points if that is given.
+    """
+    rows = written(points.select(F.col(key).alias("k"), F.col(cluster).alias("c"), F.col(vector).alias("v")).withColumn("_row", F.monotonically_increasing_id()), "points")
+    sizes = {r.c: r.n for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(sizes.values())
+    if most is not None and n > most:
         raise ValueError(f"more than {most} points; use silhouette()")
-    at = np.array([r.v for r in rows], float)
-    of = np.array([r.c for r in rows])
-    groups = sorted(set(of.tolist()))
+    groups = sorted(sizes)
+    number = {g: i for i, g in enumerate(groups)}
+    blocks = max(1, -(-n // block))
+    done = rows.withColumn("_sums", F.array_repeat(F.lit(0.0), len(groups)))
+    for i in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64("_row"), F.lit(blocks)) == i).select("c", "v").collect()
+        if not part:
+            continue
+        at, of = np.array([r.v for r in part], float), np.array([number[r.c] for r in part])
+        done = written(done.withColumn("_sums", _distance_sums(at, of, len(groups))("v", "_sums")), "distances")
 
     @F.pandas_udf("double")
-    def one(v: pd.Series, c: pd.Series) -> pd.Series:
+    def one(c: pd.Series, sums: pd.Series) -> pd.Series:
         out = []
-        for x, own in zip(v, c):
-            d = np.sqrt(((at - np.asarray(x, float)) ** 2).sum(axis=1))
-            size = (of == own).sum()
-            if size < 2 or len(groups) < 2:
+        for own, s in zip(c, sums):
+            if sizes[own] < 2 or len(groups) < 2:
                 out.append(0.0)
                 continue
-            a = d[of == own].sum() / (size - 1)
-            b = min(d[of == g].mean() for g in groups if g != own)
+            a = s[number[own]] / (sizes[own] - 1)
+            b = min(s[number[g]] / sizes[g] for g in groups if g != own)
             out.append((b - a) / max(a, b) if max(a, b) else 0.0)
         return pd.Series(out)
 
-    return points.select(F.col(key), F.round(one(F.col(vector), F.col(cluster)), 6).alias("silhouette"))
+    return done.select(F.col("k").alias(key), F.round(one("c", "_sums"), 6).alias("silhouette"))
 
 
 def elbow(vectors: DataFrame, ks: range, seed: int = 42, restarts: int = 1, label: str | None = None) -> DataFrame:

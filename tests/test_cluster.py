@@ -67,3 +67,10 @@ def test_vocabulary(spark):
     assert [(r.term, r.df, r.total) for r in cluster.features(terms, 1, 1).collect()] == [("aa", 2, 3)]
     w = {(r.doc_id, r.term): r.weight for r in cluster.tfidf_weights(terms, cluster.features(terms, 10, 1), 3).collect()}
     assert w[1, "aa"] ** 2 + w[1, "bb"] ** 2 == pytest.approx(1.0)
+
+
+def test_exact_silhouette_has_no_upper_limit(spark):
+    pts = spark.range(5200).select(F.col("id").alias("k"), F.array((F.col("id") % 7).cast("double"), (F.col("id") % 2 * 10).cast("double")).alias("v"), (F.col("id") % 2).alias("c"))
+    few = pts.where("k < 60")
+    assert cluster.exact_silhouette(few, "k", "v", "c", block=13).orderBy("k").collect() == cluster.exact_silhouette(few, "k", "v", "c").orderBy("k").collect()
+    assert cluster.exact_silhouette(pts, "k", "v", "c").where("silhouette > 0").count() == 5200
