@@ -346,7 +346,7 @@ def silhouette_exact(spark: SparkSession, d: str) -> DataFrame:
 
 def kmeans_documents(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of all labelled documents with their sizes, names and agreement with the labels."""
-    model, assigned = cluster.ClusterModel.fit(_labelled(spark, d), k=4, restarts=2)
+    model, assigned = cluster.ClusterModel.fit(_labelled(spark, d), k=4, restarts=10)
     sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     name = F.create_map(*[F.lit(x) for i, n in model.names.items() for x in (i, n)])[F.col("cluster")]
     ari = cluster.agreement(assigned).first().ari
@@ -355,7 +355,7 @@ def kmeans_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def elbow_sweep(spark: SparkSession, d: str) -> DataFrame:
     p, _ = _points(spark, d)
-    return cluster.elbow(written(cluster.as_vectors(p, "v").select("features", "label")), range(2, 6), label="label")
+    return cluster.elbow(written(cluster.as_vectors(p, "v").select("features", "label")), range(2, 9), restarts=10, label="label")
 
 
 def pca_2d(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions.analyzer import Analyzer
 from skarn.operators import cluster
+from skarn.queries import queries
 
 TOPICS = {"Economics": ["market shares fell on bank news", "inflation and interest rates rose", "the company reported profit growth"], "Entertainment": ["the film won an award", "the singer released an album", "actors praised the festival"], "Politics": ["ministers debated the election", "the party won the vote", "parliament passed the law"]}
 
@@ -74,3 +75,14 @@ def test_exact_silhouette_has_no_upper_limit(spark):
     few = pts.where("k < 60")
     assert cluster.exact_silhouette(few, "k", "v", "c", block=13).orderBy("k").collect() == cluster.exact_silhouette(few, "k", "v", "c").orderBy("k").collect()
     assert cluster.exact_silhouette(pts, "k", "v", "c").where("silhouette > 0").count() == 5200
+
+
+def test_registered_with_production_parameters(spark, tmp_path, monkeypatch):
+    asked = []
+    spark.createDataFrame([(i, [float(i % 3), float(i)], i % 3) for i in range(12)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"some words of text {i % 4}", "abcd"[i % 4]) for i in range(16)], "doc_id long, text string, category string").write.parquet(f"{tmp_path}/documents.parquet")
+    fit = cluster.fit_kmeans
+    monkeypatch.setattr(cluster, "fit_kmeans", lambda vectors, k, seed=42, restarts=10: asked.append((k, restarts)) or fit(vectors, k, seed, 1))
+    assert [r.k for r in queries()["elbow_sweep"](spark, str(tmp_path)).collect()] == list(range(2, 9))
+    queries()["kmeans_documents"](spark, str(tmp_path)).collect()
+    assert asked == [(k, 10) for k in range(2, 9)] + [(4, 10)]
