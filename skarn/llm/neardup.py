@@ -170,8 +170,8 @@ def features(records: DataFrame, fields: list[str], parts: int = 20, shingle: in
 def near_duplicates(records: DataFrame, fields: list[str], least: float = 0.5, parts: int = 20, shingle: int = 3, least_words: int = 20, most_bits: int = 82, expand: int = 64, key: str = "id") -> DataFrame:
     """``(id_a, id_b)``, id_a < id_b: records whose sets of distinct ``shingle``-word sequences have Jaccard similarity >= ``least``.
 
-    One row per ``key`` is expected. Every pair that comes out is exact; a pair is missed only if no part agrees (see the
-    README for recall). Sets that are equal form a class. A class of up to ``expand`` members
+    One row per ``key`` is expected. Every pair that comes out is exact; a pair is missed if no part agrees or if more than
+    ``most_bits`` sketch bits differ (see the README for recall, which is lower for block edits than for scattered ones). Sets that are equal form a class. A class of up to ``expand`` members
     is written out in all its pairs; a larger one as pairs of its representative (smallest id) with each member, and only
     the representative is paired with other classes, so no link between different texts is lost.
     ``most_bits``: of the 256 sketch bits, how many may differ before the exact test.

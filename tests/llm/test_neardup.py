@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from skarn.llm.neardup import golay_index, golay_keys, near_duplicates
+from skarn.llm.neardup import Fingerprints, golay_index, golay_keys, near_duplicates
 
 
 def test_golay_code_is_perfect():
@@ -93,3 +93,27 @@ def test_large_classes_keep_all_links(spark):
     for a, b in got:
         linked[a].add(b)
     assert len(linked["c00"]) == 10
+
+
+def test_recall_of_block_edits():
+    rng = random.Random(5)
+    fp = Fingerprints(20, 3)
+
+    def made(w):
+        words = fp.words(" ".join(w))
+        seq = fp.sequences(words)
+        bits = fp.bits(words)
+        return set(fp.keys(bits, seq)), bits[:256], set(seq.tolist())
+
+    for cut in (True, False):
+        n = found = 0
+        while n < 200:
+            a = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(60, 120))]
+            k = int(len(a) * (rng.uniform(0.4, 0.5) if cut else rng.uniform(0.24, 0.33)))
+            at = rng.randrange(len(a) - k)
+            b = a[:-k] if cut else a[:at] + [f"n{i}" for i in range(k)] + a[at + k:]
+            x, y = made(a), made(b)
+            if 0.5 <= len(x[2] & y[2]) / len(x[2] | y[2]) < 0.6:
+                n += 1
+                found += bool(x[0] & y[0]) and int((x[1] != y[1]).sum()) <= 82
+        assert found >= 0.95 * n
