@@ -1,22 +1,27 @@
 """Near-duplicate records with small edits (problem 6).
 
-Each record gets a fingerprint of several parts. A part has a fuzzy segment of 23 bits
-(signs of summed word hashes) and an exact segment (a min-hash of its word sequences). The
-binary Golay code [23,12,7] is perfect: every 23-bit word decodes to one codeword at most 3
-bits away. A segment is filed under the codewords of itself and of its 23 neighbours at one
-bit (one or about six keys), so that two segments that differ in at most 2 bits always share
-a key, and most that differ in 3 or 4 do. By pigeonhole, of m segments with fewer than 3m
-errors in all at least one has at most 2. Keys that agree together with the exact
-segment are joined, a longer bit sketch drops chance hits, and the exact Jaccard similarity
-of the word sequences decides.
-
-Records with equal sets are one class and are joined once, by their representative.
+A record's fingerprint is a row of bits: the signs of the summed hashes of its distinct words,
+longer words counting more. The bits are cut into segments of 23. The binary Golay code
+[23,12,7] is perfect: every 23-bit word lies within 3 bits of exactly one codeword. A segment
+is decoded to the codewords near it, the likely errors first: the bits whose sums lie closest
+to zero are the ones that a small edit turns, so a codeword costs the sums of the bits in which
+it differs. A table joins two segments; a record is filed in each table under its ``kept``
+cheapest pairs of codeword indices, the nearest pair always among them.
+
+By pigeonhole, the errors of two records are shared out over the tables: with fewer differing
+bits than tables, one table has none and the records meet there. With more, they meet in a table
+whose errors are few or fall on weak bits, with the recall that the README gives. Records that
+share a key and whose sketches (further bits) aren't far apart are verified by the exact Jaccard
+similarity of their word sequences.
+
+Records with equal sets of sequences are one class, filed and joined once, by their representative.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
@@ -44,30 +49,50 @@ def _syndrome(v: int) -> int:
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The syndromes of the low 12 and the high 11 bits, and the error of each syndrome."""
-    error = np.zeros(2048, np.int64)
+    error = np.zeros(2048, np.int32)
     for n in range(4):
         for bits in combinations(range(23), n):
             e = sum(1 << i for i in bits)
             error[_syndrome(e)] = e
-    low = np.array([_syndrome(x) for x in range(4096)], np.int64)
-    high = np.array([_syndrome(x << 12) for x in range(2048)], np.int64)
+    low = np.array([_syndrome(x) for x in range(4096)], np.int32)
+    high = np.array([_syndrome(x << 12) for x in range(2048)], np.int32)
     return low, high, error
 
 
+def golay_error(v: np.ndarray) -> np.ndarray:
+    """The bits, at most 3, in which each 23-bit word differs from its codeword."""
+    low, high, error = _tables()
+    return error[low[v & 4095] ^ high[v >> 12]]
+
+
 def golay_index(v: np.ndarray) -> np.ndarray:
     """The 12-bit index of the codeword nearest to each 23-bit word."""
-    low, high, error = _tables()
-    return (v ^ error[low[v & 4095] ^ high[v >> 12]]) >> 11
+    return (v ^ golay_error(v)) >> 11
+
 
+def near_codewords(sums: np.ndarray, flips: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For segments of 23 sums (last axis) the indices of up to ``most`` codewords and their costs, cheapest first (a very large one marks a gap), and the index of the nearest one.
 
-_FLIPS = np.array([0] + [1 << i for i in range(23)], np.int64)
+    Codewords are those that the word decodes to when any of its ``flips`` weakest bits are turned; the cost is the sum of the
+    weights of the bits in which word and codeword differ.
+    """
+    weak = np.abs(sums).astype(np.int32)
+    word = ((sums > 0).astype(np.float32) @ (1 << np.arange(23)).astype(np.float32)).astype(np.int32)
+    turned = (1 << np.argpartition(weak, flips, axis=-1)[..., :flips]).astype(np.float32)
+    patterns = (np.arange(1 << flips)[:, None] >> np.arange(flips) & 1).astype(np.float32)
+    flip = (turned @ patterns.T).astype(np.int32)
+    error = golay_error(word[..., None] ^ flip) ^ flip
+    cost = np.zeros(error.shape, np.int32)
+    for b in range(23):
+        cost += (error >> b & 1) * weak[..., b, None]
+    index = (word[..., None] ^ error) >> 11
+    both = np.sort(cost.astype(np.int64) << 12 | index, axis=-1)
+    both[..., 1:][both[..., 1:] == both[..., :-1]] = _GAP << 12
+    both = np.sort(both, axis=-1)[..., :most]
+    return both & 4095, both >> 12, index[..., 0]
 
 
-def golay_keys(v: np.ndarray) -> np.ndarray:
-    """For each 23-bit word the codeword indices of itself and its one-bit neighbours: 24 columns, sorted, repeats as -1."""
-    k = np.sort(golay_index(v[..., None] ^ _FLIPS), axis=-1)
-    k[..., 1:][k[..., 1:] == k[..., :-1]] = -1
-    return k
+_GAP = 1 << 40
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -78,109 +103,194 @@ def _spread(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class Fingerprints:
-    """Word-sequence sets, fuzzy segments, exact segments and sketch of a text."""
+#: Bits of the sketch that travels with each key.
+SKETCH = 128
+_S = [f"s{i}" for i in range(SKETCH // 64)]
+
+
+class _Known(dict):
+    """Words by number, with hash, weight and signs kept in ``store``."""
+
+    def __init__(self, store: "Fingerprints") -> None:
+        super().__init__()
+        self.store = store
 
-    def __init__(self, parts: int, shingle: int) -> None:
-        self.parts, self.shingle = parts, shingle
-        self.longs = max(SKETCH, -(-parts * 23 // 64))
-        self.seeds = _spread(np.arange(1, self.longs + 1, dtype=np.uint64) * _MIX)
-        self.turns = _spread(np.arange(101, 101 + parts, dtype=np.uint64) * _MIX) | np.uint64(1)
-        self.hashes: dict[str, int] = {}
-        self.signs: dict[int, np.ndarray] = {}
-        self.weights = (1 << np.arange(23)).astype(np.int64)
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.store.learn(n, word)
+        return n
+
+
+class Fingerprints:
+    """Word-sequence sets, keys and sketches of texts, a block of texts at a time."""
+
+    def __init__(self, tables: int = 12, joined: int = 2, kept: int = 12, flips: int = 5, shingle: int = 3, most_words: int = 50_000) -> None:
+        self.tables, self.joined, self.kept, self.flips, self.shingle, self.most_words = tables, joined, kept, flips, shingle, most_words
+        self.width = SKETCH + tables * joined * 23
+        longs = -(-self.width // 64)
+        self.seeds = _spread(np.arange(1, longs + 1, dtype=np.uint64) * _MIX)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = _Known(self)
+        self.hashes, self.signs = np.zeros(1024, np.uint64), np.zeros((1024, self.width), np.int8)
+
+    def learn(self, n: int, word: str) -> None:
+        if n >= len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+            self.signs = np.concatenate([self.signs, np.zeros_like(self.signs)])
+        h = self.hashes[n] = np.uint64(xxhash.xxh64_intdigest(word))
+        bits = np.unpackbits(_spread(self.seeds ^ h).view(np.uint8))[:self.width]
+        self.signs[n] = (bits.astype(np.int8) * 2 - 1) * np.int8(max(min(len(word), 8) - 1, 1))
 
     def words(self, text: str) -> np.ndarray:
-        known = self.hashes
-        if len(known) > 100_000:
-            known.clear()
-            self.signs.clear()
-        out = []
-        for w in _WORDS.findall(text.lower()):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            out.append(h)
-        return np.array(out, np.uint64)
+        """The numbers of the words in order."""
+        return np.array(list(map(self.known.__getitem__, _WORDS.findall(text.lower()))), np.int32)
 
     def sequences(self, words: np.ndarray) -> np.ndarray:
         """The distinct runs of ``shingle`` words as sorted 64-bit hashes."""
         n = len(words) - self.shingle + 1
         if n < 1:
             return np.empty(0, np.int64)
+        h = self.hashes[words]
         with np.errstate(over="ignore"):
             x = np.zeros(n, np.uint64)
             for i in range(self.shingle):
-                x = _spread(x * np.uint64(31) + words[i:i + n] + np.uint64(i))
-        return np.unique(x).view(np.int64)
-
-    def bits(self, words: np.ndarray) -> np.ndarray:
-        """One bit per column: the sign of the sum over distinct words of their +1 / -1 hash bits."""
-        total = np.zeros(self.longs * 64, np.int32)
-        for h in set(words.tolist()):
-            s = self.signs.get(h)
-            if s is None:
-                with np.errstate(over="ignore"):
-                    s = np.unpackbits(_spread(self.seeds ^ np.uint64(h)).view(np.uint8)).astype(np.int8) * 2 - 1
-                self.signs[h] = s
-            total += s
-        return total > 0
-
-    def keys(self, bits: np.ndarray, sequences: np.ndarray) -> list[int]:
-        """All keys of a record: part, exact segment and one Golay index, as one 64-bit hash each."""
-        segments = bits[:self.parts * 23].reshape(self.parts, 23) @ self.weights
-        index = golay_keys(segments)
-        with np.errstate(over="ignore"):
-            exact = _spread(sequences.view(np.uint64)[None, :] * self.turns[:, None]).min(axis=1)
-            all_keys = _spread(exact[:, None] ^ _spread((np.arange(self.parts, dtype=np.uint64)[:, None] << np.uint64(16)) + index.astype(np.uint64) + _MIX))
-        return all_keys[index >= 0].view(np.int64).tolist()
-
-
-#: Longs of sketch that travel with each key.
-SKETCH = 4
-_S = [f"s{i}" for i in range(SKETCH)]
-FEATURES = f"id string, doc long, h1 long, h2 long, {', '.join(f'{s} long' for s in _S)}, sequences array<long>, keys array<long>"
-
-
-def features(records: DataFrame, fields: list[str], parts: int = 20, shingle: int = 3, least_words: int = 20, key: str = "id") -> DataFrame:
+                x = _spread(x * np.uint64(31) + h[i:i + n] + np.uint64(i))
+        return np.unique(x.view(np.int64))
+
+    def sums(self, texts: list[np.ndarray]) -> np.ndarray:
+        """One row of sums per text, none of which is empty."""
+        distinct = [np.unique(w) for w in texts]
+        total = np.empty((len(texts), self.width), np.int32)
+        for i, d in enumerate(distinct):
+            self.signs[d].sum(axis=0, dtype=np.int32, out=total[i])
+        return total
+
+    def sketches(self, sums: np.ndarray) -> np.ndarray:
+        return np.packbits(sums[:, :SKETCH] > 0, axis=1).view(np.int64)
+
+    def keys(self, sums: np.ndarray) -> np.ndarray:
+        """The nearest key and the ``kept`` cheapest ones for each table, -1 for gaps and repeats: table number and codeword indices side by side."""
+        n = len(sums)
+        index, cost, at = near_codewords(sums[:, SKETCH:].reshape(n, self.tables, self.joined, 23), self.flips, 8)
+        key = np.broadcast_to(np.arange(self.tables, dtype=np.int64)[:, None], (n, self.tables, 1))
+        nearest, total = key.copy(), np.zeros(key.shape, np.int64)
+        for j in range(self.joined):
+            nearest = nearest << 12 | at[:, :, j, None]
+            total = (total[..., :, None] + cost[:, :, j, None, :]).reshape(n, self.tables, -1)
+            key = (key[..., :, None] << 12 | index[:, :, j, None, :]).reshape(n, self.tables, -1)
+            if total.shape[-1] > self.kept:
+                best = np.argpartition(total, self.kept - 1, axis=-1)[..., :self.kept]
+                total, key = np.take_along_axis(total, best, -1), np.take_along_axis(key, best, -1)
+        key = np.where((total < _GAP) & (key != nearest), key, -1)
+        return np.concatenate([nearest, key], axis=-1).reshape(n, -1)
+
+
+FEATURES = f"doc long, id string, h1 long, h2 long, {', '.join(f'{s} long' for s in _S)}, sequences array<long>, keys array<long>"
+
+
+def features(records: DataFrame, fields: list[str], least_words: int = 20, key: str = "id", block: int = 256, **settings: int) -> DataFrame:
     """One row per record with at least ``least_words`` words; the rest is left out. Whole texts; null fields are empty."""
     text = F.concat_ws(" ", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fp = Fingerprints(parts, shingle)
+        fp = Fingerprints(**settings)
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("id", "doc", "h1", "h2", *_S, "sequences", "keys")}
-            for i, t in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
-                w = fp.words(t)
-                if len(w) < max(least_words, shingle):
+            for at in range(0, len(batch), block):
+                part = batch.slice(at, block)
+                if len(fp.known) > fp.most_words:
+                    fp.forget()
+                found = [(d, i, w) for d, i, w in zip(part["doc"].to_pylist(), part["id"].to_pylist(), map(fp.words, part["text"].to_pylist())) if len(w) >= max(least_words, fp.shingle)]
+                if not found:
                     continue
-                seq = fp.sequences(w)
-                bits = fp.bits(w)
-                sketch = np.packbits(bits[:SKETCH * 64]).view(np.int64).tolist()
-                body = seq.tobytes()
-                row = (i, xxhash.xxh64_intdigest(i) - 2**63, xxhash.xxh64_intdigest(body) - 2**63, xxhash.xxh64_intdigest(body, 1) - 2**63, *sketch, seq.tolist(), fp.keys(bits, seq))
-                for c, v in zip(out, row):
-                    out[c].append(v)
-            kinds = [pa.string(), *[pa.int64()] * (3 + SKETCH), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)})
-
-    return spread(records.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), text.alias("text"))).mapInArrow(make, FEATURES)
-
-
-def near_duplicates(records: DataFrame, fields: list[str], least: float = 0.5, parts: int = 20, shingle: int = 3, least_words: int = 20, most_bits: int = 82, expand: int = 64, key: str = "id") -> DataFrame:
-    """``(id_a, id_b)``, id_a < id_b: records whose sets of distinct ``shingle``-word sequences have Jaccard similarity >= ``least``.
-
-    One row per ``key`` is expected. Every pair that comes out is exact; a pair is missed if no part agrees or if more than
-    ``most_bits`` sketch bits differ (see the README for recall, which is lower for block edits than for scattered ones). Sets that are equal form a class. A class of up to ``expand`` members
-    is written out in all its pairs; a larger one as pairs of its representative (smallest id) with each member, and only
-    the representative is paired with other classes, so no link between different texts is lost.
-    ``most_bits``: of the 256 sketch bits, how many may differ before the exact test.
+                sums = fp.sums([w for _, _, w in found])
+                sets = [fp.sequences(w) for _, _, w in found]
+                bodies = [s.tobytes() for s in sets]
+                ends = np.cumsum([0] + [len(s) for s in sets], dtype=np.int32)
+                keys = fp.keys(sums)
+                keys.sort(axis=1)
+                sketch = fp.sketches(sums)
+                kept = (keys >= 0).sum(axis=1)
+                columns = [pa.array([d for d, _, _ in found], pa.int64()), pa.array([i for _, i, _ in found], pa.string()), *(pa.array([xxhash.xxh64_intdigest(b, seed) - 2**63 for b in bodies], pa.int64()) for seed in (0, 1)),
+                           *(pa.array(sketch[:, i]) for i in range(len(_S))), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))),
+                           pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], kept])).astype(np.int32)), pa.array(keys[keys >= 0]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "id", "h1", "h2", *_S, "sequences", "keys"])
+
+    asked = spread(records.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), text.alias("text")))
+    return asked.select(F.monotonically_increasing_id().alias("doc"), "id", "text").mapInArrow(make, FEATURES)
+
+
+@dataclass
+class NearDuplicates:
+    """What was found: ``members(id, rep, size)``, one row per record that takes part, with the smallest id of its class and the
+    size of that; ``links(rep_a, rep_b)``, rep_a < rep_b, the pairs of similar classes. Both are written tables."""
+
+    members: DataFrame
+    links: DataFrame
+
+    def pairs(self, block: int = 1000) -> DataFrame:
+        """``(id_a, id_b)``, id_a < id_b: every pair of similar records, those inside classes of any size included.
+
+        A class is cut into blocks of about ``block`` members, and blocks are paired with blocks, so that no task holds a whole class.
+        """
+        blocks = F.ceil(F.col("size") / block).cast("int")
+        cut = self.members.select("id", "rep", "size", blocks.alias("k"), F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / block)).cast("int").alias("at"))
+        own = cut.where("size > 1")
+        inside = own.select(F.col("id").alias("x"), "rep", "at", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("to")).join(own.select(F.col("id").alias("y"), "rep", F.col("at").alias("to")), ["rep", "to"]).where("x < y").select("x", "y")
+        sizes = self.members.where("id = rep").select("rep", "size")
+        both = self.links.join(sizes.select(F.col("rep").alias("rep_a"), blocks.alias("ka")), "rep_a").join(sizes.select(F.col("rep").alias("rep_b"), blocks.alias("kb")), "rep_b")
+        steps = both.select("rep_a", "rep_b", F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("at_a"), "kb").select("rep_a", "rep_b", "at_a", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("at_b"))
+        one, two = (cut.select(F.col("rep").alias(f"rep_{s}"), F.col("at").alias(f"at_{s}"), F.col("id").alias(n)) for s, n in (("a", "x"), ("b", "y")))
+        across = steps.join(one, ["rep_a", "at_a"]).join(two, ["rep_b", "at_b"]).select("x", "y")
+        return inside.unionByName(across).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+    def groups(self) -> DataFrame:
+        """``(id, class_id, class_size, links, group_id)``: one row per record that takes part.
+
+        ``class_id``: the smallest id with the same set of sequences; ``links``: how many other records are similar to it;
+        ``group_id``: the smallest id that is reached over links.
+        """
+        ends = self.links.unionByName(self.links.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b")))
+        sizes = self.members.where("id = rep").select("rep", "size")
+        near = ends.join(sizes.select(F.col("rep").alias("rep_b"), "size"), "rep_b").groupBy(F.col("rep_a").alias("rep")).agg(F.sum("size").alias("near"))
+        roots = components(self.links.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))).withColumnRenamed("node", "rep")
+        of = written(sizes.join(near, "rep", "left").join(roots, "rep", "left"), "classes")
+        rows = lookup_join(self.members, of.select("rep", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("root", "rep").alias("root"), F.col("size").alias("_rows")), ["rep"], "_rows")
+        return rows.select("id", F.col("rep").alias("class_id"), F.col("size").alias("class_size"), (F.col("size") - 1 + F.col("near")).alias("links"), F.col("root").alias("group_id"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, root)``: the smallest node of the connected component of every node of ``edges(a, b)``.
+
+    Each round, every node takes the least root of itself and its neighbours, then the root of that root; a round is a written
+    table, and the number of rounds grows with the logarithm of the longest path.
+    """
+    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "roots")
+    while True:
+        seen = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        lower = written(roots.join(seen, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("before")), "roots")
+        jumped = lower.join(lower.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.least("root", "next").alias("root"), "before")
+        jumped = written(jumped, "roots")
+        moved = jumped.where("root <> before").limit(1).count()
+        roots = jumped.select("node", "root")
+        if not moved:
+            return roots
+
+
+def near_duplicates(records: DataFrame, fields: list[str], least: float = 0.5, shingle: int = 3, least_words: int = 20, tables: int = 12, joined: int = 2, kept: int = 12, most_bits: int = 48, key: str = "id") -> NearDuplicates:
+    """The records whose sets of distinct ``shingle``-word sequences have Jaccard similarity >= ``least``, as classes and links.
+
+    One row per ``key`` is expected; null keys, null and short texts take no part. Every link is exact; one is missed if no table
+    files both records under a common key or if their sketches differ in more than ``most_bits`` of 128 bits (see the README for
+    the recall of scattered and of block edits). ``joined`` segments make a key: each one more makes keys 4096 times finer, for larger collections.
     """
-    f = written(features(records, fields, parts, shingle, least_words, key), "fingerprints")
-    classes = written(f.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    members = lookup_join(f.select("id", "h1", "h2"), classes.withColumn("size", F.col("n")), ["h1", "h2"], "n").select("id", "rep", "size")
-    members = written(members, "members")
-    reps = f.join(members.where("id = rep").select("id"), "id", "left_semi")
+    f = written(features(records, fields, least_words, key, tables=tables, joined=joined, kept=kept, shingle=shingle), "fingerprints")
+    classes = written(f.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
+    members = written(lookup_join(f.select("doc", "id", "h1", "h2"), classes.withColumn("n", F.col("size")), ["h1", "h2"], "n").select("doc", "id", "rep", "size"), "members")
+    copies = written(members.where("id <> rep").select("doc"), "copies")
+    reps = f.join(copies, "doc", "left_anti")
     filed = reps.select("doc", *_S, F.explode("keys").alias("key"))
     a, b = (filed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("doc", *_S)]) for x in "ab")
     apart = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _S), F.lit(0))
@@ -188,11 +298,5 @@ def near_duplicates(records: DataFrame, fields: list[str], least: float = 0.5, p
     one, two = (reps.select(F.col("doc").alias(f"doc_{x}"), F.col("id").alias(f"id_{x}"), F.col("sequences").alias(f"q_{x}")) for x in "ab")
     common = F.size(F.array_intersect("q_a", "q_b"))
     alike = common / (F.size("q_a") + F.size("q_b") - common) >= least
-    between = written(candidates.join(one, "doc_a").join(two, "doc_b").where(alike).select("id_a", "id_b"), "links")
-    small = members.where(f"size between 2 and {expand}")
-    inside = small.select(F.col("id").alias("x"), "rep").join(small.select(F.col("id").alias("y"), "rep"), "rep").where("x < y").select("x", "y")
-    star = members.where(f"size > {expand} and id <> rep").select(F.col("rep").alias("x"), F.col("id").alias("y"))
-    of = members.where(f"size <= {expand} or id = rep").select("rep", "id")
-    across = between.join(of.select(F.col("rep").alias("id_a"), F.col("id").alias("x")), "id_a").join(of.select(F.col("rep").alias("id_b"), F.col("id").alias("y")), "id_b").select("x", "y")
-    pairs = inside.unionByName(star).unionByName(across)
-    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    links = candidates.join(one, "doc_a").join(two, "doc_b").where(alike).select(F.least("id_a", "id_b").alias("rep_a"), F.greatest("id_a", "id_b").alias("rep_b"))
+    return NearDuplicates(members.select("id", "rep", "size"), written(links, "links"))

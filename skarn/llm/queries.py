@@ -13,7 +13,7 @@ from skarn.llm.leaks import find_leaks, leak_report
 from skarn.llm.markup import clean_texts
 from skarn.llm.mixing import mix_plan, reached, realise, token_counts
 from skarn.llm.names import link_authors
-from skarn.llm.neardup import near_duplicates
+from skarn.llm.neardup import NearDuplicates, near_duplicates
 from skarn.llm.residue import find_residue, without_residue
 from skarn.llm.termstats import term_frequencies, term_scores, top_terms
 from skarn.session import written
@@ -58,10 +58,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return link_authors(current(spark, d, "publications", ["authors"]), current(spark, d, "persons", ["name"]))
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
+def _similar(spark: SparkSession, d: str) -> NearDuplicates:
     return near_duplicates(current(spark, d, "publications", ["title", "abstract"]), ["title", "abstract"])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _similar(spark, d).pairs()
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of similar publications: each record's class of equal texts, its number of links and its group."""
+    return _similar(spark, d).groups()
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     host = lambda c: F.regexp_extract(F.coalesce(F.col(c), F.lit("")), r"^[a-z]+://([^/?#]+)", 1)
     pubs = current(spark, d, "publications", ["abstract", "url"]).select(F.lit("publication").alias("kind"), "id", host("url").alias("host"), F.col("abstract").alias("text"))
@@ -117,7 +126,7 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_unmatched, p2_found, p2_terms, p4_found, p4_relevance, p5_found, p6_found, p7_found, p7_clean, p8_found, p8_edited, p8_items, p9_found, p9_shares, p9_mix, p10_found, p10_kept)
+    found = (p1_found, p1_unmatched, p2_found, p2_terms, p4_found, p4_relevance, p5_found, p6_found, p6_groups, p7_found, p7_clean, p8_found, p8_edited, p8_items, p9_found, p9_shares, p9_mix, p10_found, p10_kept)
     return {f.__name__: f for f in found}
 
 
@@ -151,16 +160,20 @@ def oracle_sql() -> dict[str, str]:
     s AS (SELECT id, term, tf, df, round(ln(1 + (n.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a.avg)), 6) AS score FROM tf JOIN df USING (term) JOIN len USING (id), n, a),
     k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, term) AS k FROM s)
     SELECT id AS publication_id, term, tf::BIGINT AS tf, df::BIGINT AS df, score FROM k WHERE k <= 10""",
-        "p6_found": f"""WITH {_CURRENT}, w AS (SELECT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[a-z0-9]+') AS w FROM cur),
-    s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 20),
-    c AS (SELECT id, count(*) AS c FROM s GROUP BY id),
-    p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
-    SELECT id_a, id_b FROM p JOIN c x ON x.id = id_a JOIN c y ON y.id = id_b WHERE 2 * k >= x.c + y.c - k""",
+        "p6_found": f"{_SIMILAR} SELECT id_a, id_b FROM pairs",
+        "p6_groups": f"""{_SIMILAR}, e AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs),
+    r AS (SELECT id AS a, id AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), g AS (SELECT a AS id, min(b) AS group_id FROM r GROUP BY a),
+    q AS (SELECT id, list(s ORDER BY s) AS q FROM s GROUP BY id), k AS (SELECT id, min(id) OVER (PARTITION BY q) AS class_id, count(*) OVER (PARTITION BY q) AS class_size FROM q), l AS (SELECT a AS id, count(*) AS links FROM e GROUP BY a)
+    SELECT id, class_id, class_size, coalesce(links, 0) AS links, group_id FROM k JOIN g USING (id) LEFT JOIN l USING (id)""",
         "p8_found": _LEAKS + " SELECT doc_id, item_id FROM found",
         "p8_items": _LEAKS + " SELECT e.item_id, e.task, count(f.doc_id)::BIGINT AS documents FROM eval_items e LEFT JOIN found f USING (item_id) GROUP BY ALL",
     }
 
 
+_SIMILAR = f"""WITH RECURSIVE {_CURRENT}, w AS (SELECT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[a-z0-9]+') AS w FROM cur),
+    s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 20),
+    c AS (SELECT id, count(*) AS c FROM s GROUP BY id), h AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL),
+    pairs AS (SELECT id_a, id_b FROM h JOIN c x ON x.id = id_a JOIN c y ON y.id = id_b WHERE 2 * k >= x.c + y.c - k)"""
 _LEAKS = r"""WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
     iw AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM i WHERE len(w) >= 10),
     dw AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM d WHERE len(w) >= 10),
