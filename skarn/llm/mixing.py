@@ -1,9 +1,10 @@
 """Mixing sources to target weights (problem 9).
 
-Sizes are tokens of a public tokenizer. A source's share of the mix comes from its target
-weight alone. The temperature (an exponent on the sizes, bisected until the tempered shares
-have the entropy of the target weights) is only reported; it doesn't make the mix.
-The shares are realised as whole passes over each source and a last, partial pass that
+Sizes are tokens of a public tokenizer. A source gets its share of the weights, or, where that is more than its allowed
+repeats give, all that they give. What such limited sources leave over is mixed by temperature: the sizes are raised to an
+exponent, which is bisected until the tempered shares have the entropy of the target weights, and the rest goes to the other
+sources by these shares, again up to their limits. Without weights the whole mix is tempered that way.
+The amounts are realised as whole passes over each source and a last, partial pass that
 takes hash-permuted blocks of documents up to the budget, without sorting any source.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +27,11 @@ def source_name(c: Column) -> Column:
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, key: str = "doc_id") -> DataFrame:
-    """``(doc_id, source, tokens)`` of whole texts; a null or empty text has 0 tokens. Special tokens' strings are ordinary text."""
+    """``(doc_id, source, tokens)`` of whole texts; a null or empty text has 0 tokens. Special tokens' strings are ordinary text.
+
+    ``tokenizer``: a vocabulary file that the driver reads and sends to the tasks; a few megabytes by nature.
+    """
+    held = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), source_name(F.col("source").cast("string")).alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +40,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, key: str = "d
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
+        t = Tokenizer.from_str(held.value)
         t.encode_special_tokens = True
         for batch in batches:
             texts = batch["text"].to_pylist()
@@ -83,43 +89,56 @@ def bisect_exponent(sizes: dict[str, float], target_entropy: float | None = None
     return high
 
 
-def plan_mix(sizes: dict[str, int], weights: dict[str, float], repeats: dict[str, int]) -> list[dict]:
+def poured(amount: float, shares: dict[str, float], room: dict[str, float]) -> dict[str, float]:
+    """``amount`` divided by ``shares``, each part at most its ``room``; what one can't take goes to the others, until all are full."""
+    given = {s: 0.0 for s in shares}
+    open_, left = {s for s in shares if shares[s] > 0 and room[s] > 0}, amount
+    while open_ and left > 0:
+        w = sum(shares[s] for s in open_)
+        full = {s for s in open_ if room[s] <= left * shares[s] / w}
+        for s in full or open_:
+            given[s] = room[s] if full else left * shares[s] / w
+        if not full:
+            break
+        left -= sum(room[s] for s in full)
+        open_ -= full
+    return given
+
+
+def plan_mix(sizes: dict[str, int], weights: dict[str, float] | None, repeats: dict[str, int], target_entropy: float | None = None) -> list[dict]:
     """What each source gives to a mix whose budget is the size of all listed sources together.
 
-    A source whose share of the budget is more than its size times its allowed repeats is capped there, and
-    what it can't give goes to the others in proportion to their weights, until none is over its limit.
-    The weights fix the shares; ``exponent``, the temperature at which the sizes' own shares are as spread as the
-    target weights, is only reported.
+    Every source gets its share of the weights times the budget, at most its size times its allowed repeats; it is ``limited`` where it gets less.
+    The rest of the budget goes to sources below their limit by the tempered shares ``size ** exponent``, the exponent being bisected to the entropy of the
+    weights (or ``target_entropy``). With ``weights=None`` everything is the rest, and without a target entropy the exponent is the smallest that keeps all repeats.
     """
-    total_weight = sum(weights.values())
-    budget = sum(sizes.get(s, 0) for s in weights)
-    target = {s: (w / total_weight if total_weight else 0.0) for s, w in weights.items()}
-    limit = {s: sizes.get(s, 0) * repeats[s] for s in weights}
-    exponent = bisect_exponent({s: float(sizes.get(s, 0)) for s in weights}, entropy(list(target.values())))
-    given: dict[str, float] = {}
-    free, left = dict(weights), float(budget)
-    while free:
-        w = sum(free.values())
-        over = [s for s in free if limit[s] < (left * free[s] / w if w else 0.0)]
-        if not over:
-            given |= {s: (left * free[s] / w if w else 0.0) for s in free}
-            break
-        for s in over:
-            given[s] = float(limit[s])
-            del free[s]
-        left = budget - sum(given.values())
+    listed = sorted(repeats)
+    budget = float(sum(sizes.get(s, 0) for s in listed))
+    total = sum((weights or {}).values())
+    target = {s: (weights[s] / total if weights and total else 0.0) for s in listed}
+    limit = {s: float(sizes.get(s, 0) * repeats[s]) for s in listed}
+    size = {s: float(sizes.get(s, 0)) for s in listed}
+    wanted = target_entropy if target_entropy is not None or weights is None else entropy(list(target.values()))
+    exponent = bisect_exponent(size, wanted, repeats, budget)
+    given = {s: min(limit[s], target[s] * budget) for s in listed}
+    limited = {s: given[s] < target[s] * budget for s in listed}
+    shares = tempered(size, exponent)
+    if not weights or total:
+        more = poured(budget - sum(given.values()), shares, {s: limit[s] - given[s] for s in listed})
+        given = {s: given[s] + more[s] for s in listed}
     return [{
-        "source": s, "size": sizes.get(s, 0), "target_share": target[s], "limited": limit[s] < target[s] * budget,
+        "source": s, "size": sizes.get(s, 0), "target_share": target[s], "limited": limited[s],
         "tokens": int(round(given[s])), "reached_share": given[s] / budget if budget else 0.0,
-        "repeats": given[s] / sizes[s] if sizes.get(s) else 0.0, "exponent": exponent,
-    } for s in sorted(weights)]
+        "repeats": given[s] / size[s] if size[s] else 0.0, "exponent": exponent,
+    } for s in listed]
 
 
 PLAN = "source string, size long, target_share double, limited boolean, tokens long, reached_share double, repeats double, exponent double"
 
 
-def mix_plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target source: size, target and reached share, repeats. ``counts``: of :func:`token_counts`.
+def mix_plan(counts: DataFrame, targets: DataFrame, weighted: bool = True) -> DataFrame:
+    """One row per target source: size, target and planned share, repeats. ``counts``: ``(doc_id, source, tokens)``, as of :func:`token_counts` or in another unit.
+    ``weighted=False`` leaves the weights out: the mix is tempered as far as the allowed repeats go.
 
     Sources are few by nature: one row each of sizes goes to the driver. Target rows with the same name after
     normalising are added up (the larger ``max_repeats`` holds); null weights count as 0, null repeats as 1.
@@ -128,7 +147,7 @@ def mix_plan(counts: DataFrame, targets: DataFrame) -> DataFrame:
     want = targets.where("source is not null").groupBy(source_name(F.col("source")).alias("source")).agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("w"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("r"))
     asked = {r.source: (float(r.w), int(r.r)) for r in want.collect()}
     sizes = {r.source: int(r.n) for r in counts.where(F.col("source").isin(list(asked))).groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    rows = plan_mix(sizes, {s: w for s, (w, _) in asked.items()}, {s: r for s, (_, r) in asked.items()})
+    rows = plan_mix(sizes, {s: w for s, (w, _) in asked.items()} if weighted else None, {s: r for s, (_, r) in asked.items()})
     return spark.createDataFrame([tuple(r.values()) for r in rows], PLAN)
 
 
@@ -169,12 +188,12 @@ def realise(counts: DataFrame, plan: DataFrame, blocks: int = 256, seed: int = 0
 
 
 def reached(counts: DataFrame, plan: DataFrame) -> DataFrame:
-    """``plan`` with ``tokens``, ``reached_share`` (of the budget) and ``repeats`` as measured on the mix of :func:`realise`."""
+    """``plan`` with ``tokens``, ``reached_share`` (of the whole mix) and ``repeats`` as measured on the mix of :func:`realise`."""
     spark = counts.sparkSession
     got = {r.source: int(r.n) for r in realise(counts, plan).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("n")).collect()}
     rows = [r.asDict() for r in plan.collect()]
-    budget = sum(r["size"] for r in rows)
+    whole = sum(got.values())
     for r in rows:
         n = got.get(r["source"], 0)
-        r |= {"tokens": n, "reached_share": n / budget if budget else 0.0, "repeats": n / r["size"] if r["size"] else 0.0}
+        r |= {"tokens": n, "reached_share": n / whole if whole else 0.0, "repeats": n / r["size"] if r["size"] else 0.0}
     return spark.createDataFrame([tuple(r.values()) for r in rows], PLAN)

@@ -11,7 +11,7 @@ from skarn.llm.canon import map_to_canonical
 from skarn.llm.common import current, table
 from skarn.llm.leaks import find_leaks, leak_report
 from skarn.llm.markup import clean_texts
-from skarn.llm.mixing import mix_plan, reached, realise, token_counts
+from skarn.llm.mixing import mix_plan, reached, realise, source_name, token_counts
 from skarn.llm.names import link_authors
 from skarn.llm.neardup import NearDuplicates, near_duplicates
 from skarn.llm.residue import find_residue, without_residue
@@ -109,6 +109,20 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mix_plan(written(token_counts(table(spark, d, "documents")), "token-counts"), table(spark, d, "mix_targets")).where("limited").select("source")
 
 
+def p9_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of a mix without weights: the sizes are tempered as flat as the allowed repeats let them be."""
+    counts = written(token_counts(table(spark, d, "documents")), "token-counts")
+    return reached(counts, mix_plan(counts, table(spark, d, "mix_targets"), weighted=False)).drop("target_share", "limited")
+
+
+def p9_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of the mix with sizes in characters."""
+    docs = table(spark, d, "documents")
+    counts = docs.select("doc_id", source_name(F.col("source")).alias("source"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("tokens"))
+    plan = mix_plan(counts, table(spark, d, "mix_targets"))
+    return plan.select("source", "size", F.round("target_share", 6).alias("target_share"), "limited", F.round("reached_share", 6).alias("planned_share"), F.round("repeats", 4).alias("repeats"), F.round("exponent", 6).alias("exponent"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     """The mix itself: how often each document is taken."""
     counts = written(token_counts(table(spark, d, "documents")), "token-counts")
@@ -126,7 +140,7 @@ def p10_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (p1_found, p1_unmatched, p2_found, p2_terms, p4_found, p4_relevance, p5_found, p6_found, p6_groups, p7_found, p7_clean, p8_found, p8_edited, p8_items, p9_found, p9_shares, p9_mix, p10_found, p10_kept)
+    found = (p1_found, p1_unmatched, p2_found, p2_terms, p4_found, p4_relevance, p5_found, p6_found, p6_groups, p7_found, p7_clean, p8_found, p8_edited, p8_items, p9_found, p9_shares, p9_tempered, p9_chars, p9_mix, p10_found, p10_kept)
     return {f.__name__: f for f in found}
 
 
@@ -166,10 +180,25 @@ def oracle_sql() -> dict[str, str]:
     q AS (SELECT id, list(s ORDER BY s) AS q FROM s GROUP BY id), k AS (SELECT id, min(id) OVER (PARTITION BY q) AS class_id, count(*) OVER (PARTITION BY q) AS class_size FROM q), l AS (SELECT a AS id, count(*) AS links FROM e GROUP BY a)
     SELECT id, class_id, class_size, coalesce(links, 0) AS links, group_id FROM k JOIN g USING (id) LEFT JOIN l USING (id)""",
         "p8_found": _LEAKS + " SELECT doc_id, item_id FROM found",
+        "p9_found": f"{_MIX} SELECT source FROM m WHERE size * r < share * budget",
+        "p9_chars": f"""{_MIX}, h AS (SELECT -sum(share * ln(share)) FILTER (share > 0) AS h FROM m),
+    b AS (SELECT 0 AS k, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL SELECT k + 1, CASE WHEN flat THEN mid ELSE low END, CASE WHEN flat THEN high ELSE mid END
+          FROM (SELECT k, low, high, mid, -list_sum([q * ln(q) FOR q IN [x / list_sum(p) FOR x IN p]]) > (SELECT h FROM h) AS flat
+                FROM (SELECT k, low, high, (low + high) / 2 AS mid, [power(z, (low + high) / 2) FOR z IN (SELECT list(size::DOUBLE) FROM m WHERE size > 0)] AS p FROM b WHERE k < 60))),
+    ent AS (SELECT e, -list_sum([q * ln(q) FOR q IN [x / list_sum(p) FOR x IN p]]) AS v FROM (SELECT e, [power(z, e) FOR z IN (SELECT list(size::DOUBLE) FROM m WHERE size > 0)] AS p FROM (SELECT unnest([0.0::DOUBLE, 1.0::DOUBLE]) AS e))),
+    ex AS (SELECT CASE WHEN (SELECT v FROM ent WHERE e = 0) <= h THEN 0 WHEN (SELECT v FROM ent WHERE e = 1) > h THEN 1 ELSE (SELECT high FROM b WHERE k = 60) END AS exponent FROM h),
+    g AS (SELECT m.*, exponent, least(size * r, share * budget) AS base, size * r - least(size * r, share * budget) AS room, power(size::DOUBLE, exponent) AS t FROM m, ex),
+    o AS (SELECT *, room / t AS mark FROM g WHERE room > 0 AND size > 0), rest AS (SELECT max(budget) - sum(base) AS rest FROM g),
+    c AS (SELECT *, coalesce(sum(room) OVER (ORDER BY mark, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled, sum(t) OVER (ORDER BY mark, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM o),
+    l AS (SELECT max((rest - filled) / after) AS level FROM c, rest), f AS (SELECT g.*, base + CASE WHEN room > 0 AND size > 0 THEN least(room, level * t) ELSE 0 END AS given FROM g, l)
+    SELECT source, size, round(share, 6) AS target_share, size * r < share * budget AS limited, round(given / budget, 6) AS planned_share, round(CASE WHEN size > 0 THEN given / size ELSE 0 END, 4) AS repeats, round(exponent, 6) AS exponent FROM f""",
         "p8_items": _LEAKS + " SELECT e.item_id, e.task, count(f.doc_id)::BIGINT AS documents FROM eval_items e LEFT JOIN found f USING (item_id) GROUP BY ALL",
     }
 
 
+_NAMED = "regexp_replace(lower(trim(source)), '[_\\s]', '-', 'g')"
+_MIX = f"""WITH RECURSIVE t AS (SELECT {_NAMED} AS source, sum(weight) AS w, max(max_repeats) AS r FROM mix_targets GROUP BY ALL), d AS (SELECT {_NAMED} AS source, sum(length(text)) AS n FROM documents GROUP BY ALL),
+    m AS (SELECT source, coalesce(n, 0)::BIGINT AS size, r, w / sum(w) OVER () AS share, (sum(coalesce(n, 0)) OVER ())::DOUBLE AS budget FROM t LEFT JOIN d USING (source))"""
 _SIMILAR = f"""WITH RECURSIVE {_CURRENT}, w AS (SELECT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[a-z0-9]+') AS w FROM cur),
     s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 20),
     c AS (SELECT id, count(*) AS c FROM s GROUP BY id), h AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL),

@@ -119,12 +119,37 @@ def test_exponent():
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.integers(0, 10**6), st.floats(0, 100), st.integers(1, 5)), max_size=6))
 def test_plan(case):
-    rows = plan_mix({s: n for s, (n, _, _) in case.items()}, {s: w for s, (_, w, _) in case.items()}, {s: r for s, (_, _, r) in case.items()})
-    budget = sum(n for n, _, _ in case.values())
-    assert sum(r["tokens"] for r in rows) <= budget + len(rows)
-    for r in rows:
-        n, w, k = case[r["source"]]
-        assert r["tokens"] <= n * k + 1 and r["limited"] == (n * k < r["target_share"] * budget)
+    sizes, weights, repeats = ({s: x[i] for s, x in case.items()} for i in range(3))
+    for w in (weights, None):
+        rows = plan_mix(sizes, w, repeats)
+        budget = sum(n for n, _, _ in case.values())
+        total = sum(weights.values())
+        assert sum(r["tokens"] for r in rows) <= budget + len(rows)
+        if w is None or total:
+            full = all(r["tokens"] >= case[r["source"]][0] * case[r["source"]][2] - 1 for r in rows)
+            assert full or sum(r["tokens"] for r in rows) >= budget - len(rows)
+        for r in rows:
+            n, _, k = case[r["source"]]
+            assert r["tokens"] <= n * k + 1 and r["limited"] == (n * k < r["target_share"] * budget) and (r["limited"] or r["tokens"] >= int(r["target_share"] * budget) - 1)
+
+
+def test_the_exponent_makes_the_mix(monkeypatch):
+    """What limited sources leave over is mixed by the bisected temperature, and so is a mix without weights."""
+    from skarn.llm import mixing
+
+    sizes, weights, repeats = {"a": 100_000, "b": 20_000, "c": 1000}, {"a": 2.0, "b": 1.0, "c": 7.0}, {"a": 5, "b": 5, "c": 2}
+    rows = {r["source"]: r for r in plan_mix(sizes, weights, repeats)}
+    rest = 121_000 - 2000 - 0.3 * 121_000
+    shares = tempered({s: float(sizes[s]) for s in "ab"}, rows["a"]["exponent"])
+    assert rows["c"]["limited"] and rows["c"]["tokens"] == 2000 and 0 < rows["a"]["exponent"] < 1
+    assert entropy(list(tempered({s: float(n) for s, n in sizes.items()}, rows["a"]["exponent"]).values())) == pytest.approx(entropy([0.2, 0.1, 0.7]))
+    assert [rows[s]["tokens"] for s in "ab"] == [round(t * 121_000 + shares[s] * rest) for s, t in zip("ab", (0.2, 0.1))]
+    alone = {r["source"]: r["repeats"] for r in plan_mix(sizes, None, repeats)}
+    assert alone["c"] == pytest.approx(2) and alone["a"] < alone["b"] < alone["c"]
+    for e in (0.0, 1.0):
+        monkeypatch.setattr(mixing, "bisect_exponent", lambda *_, e=e: e)
+        assert {r["source"]: r["tokens"] for r in plan_mix(sizes, weights, repeats)} != {s: r["tokens"] for s, r in rows.items()}
+        assert {r["source"]: r["repeats"] for r in plan_mix(sizes, None, repeats)} != alone
 
 
 def test_mix(spark):
@@ -189,4 +214,4 @@ def test_shares_are_measured_and_only_what_does_not_fit_is_skipped(spark):
     plan = spark.createDataFrame([("a", 900, 1.0, True, 105, 105 / 900, 105 / 900, 1.0)], MIX)
     got = reached(counts, plan).first()
     mix = realise(counts, plan).agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0]
-    assert got.tokens == mix and mix < 105 and got.reached_share == mix / 900 == got.repeats
+    assert got.tokens == mix and mix < 105 and got.reached_share == 1 and got.repeats == mix / 900
