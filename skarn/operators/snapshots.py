@@ -1,14 +1,15 @@
 """Changes between full snapshots (problem 3).
 
-An index holds, per snapshot and id, a 128-bit hash of the compared content and
-nothing else. It is kept as one Parquet table bucketed by id and partitioned by
-snapshot. A new snapshot is hashed and aggregated in one pass, probed against the
-index of the one before bucket by bucket (no exchange), and then takes its place.
-The values themselves are read again only for ids that changed.
+What is kept of the last snapshot is an index: per id a 128-bit hash of the compared content
+and nothing else, as one Parquet table bucketed by id. A new snapshot is hashed and aggregated
+in one pass, probed against the kept index bucket by bucket (no exchange), and then takes its
+place. A delivery costs one pass over its own rows, however many came before. The values
+themselves are read again only for ids that changed.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,14 @@ from pyspark.sql import types as T
 
 from skarn.operators.current import as_instant
 from skarn.session import scratch_path
+from skarn.sources.files import delete, exists, read_text, replace_text
 
-CHANGES = "crawl_id string, id string, change_kind string"
+CHANGES = "crawl_id string, id string, change_kind string, old_h binary, new_h binary"
+
+
+def _clean(c: Column) -> Column:
+    """A compared text: outer spaces don't count and null equals empty."""
+    return F.coalesce(F.trim(c.cast("string"), F.lit(" \t\r\n")), F.lit(""))
 
 
 def content(df: DataFrame, fields: list[str], exact: list[str]) -> Column:
@@ -34,7 +41,7 @@ def content(df: DataFrame, fields: list[str], exact: list[str]) -> Column:
     for f in sorted([*fields, *exact]):
         c = F.col(f)
         if f in fields:
-            whole.append(part(F.coalesce(F.trim(c.cast("string"), F.lit(" \t\r\n")), F.lit(""))))
+            whole.append(part(_clean(c)))
         elif isinstance(df.schema[f].dataType, T.ArrayType):
             whole.append(F.concat(F.coalesce(F.size(c), F.lit(-1)).cast("string"), F.lit("["), F.coalesce(F.concat_ws("", F.transform(c, lambda x: F.coalesce(part(x.cast("string")), F.lit("~")))), F.lit(""))))
         else:
@@ -42,85 +49,121 @@ def content(df: DataFrame, fields: list[str], exact: list[str]) -> Column:
     return F.concat(*whole)
 
 
-def key_index(rows: DataFrame, snapshot: str, fields: list[str], exact: list[str], key: str = "id", at: str = "crawled_at") -> DataFrame:
-    """``(snapshot, id, h)``: of each id in each snapshot the hash of its latest row.
+def content_hash(df: DataFrame, fields: list[str], exact: list[str]) -> Column:
+    return F.unhex(F.md5(content(df, fields, exact)))
+
+
+def key_index(rows: DataFrame, fields: list[str], exact: list[str], by: tuple[str, ...] = (), key: str = "id", at: str = "crawled_at") -> DataFrame:
+    """``(*by, id, h)``: of each id (in each snapshot, if ``by`` names its column) the hash of its latest row.
 
     Latest by ``at`` as a point in time, a missing one being the oldest; among rows with the
     same time the larger hash. The aggregate combines before the exchange, so that a hot id
     sends one row per task, and only hashes travel. Rows without an id are left out.
     """
     narrow = rows.where(F.col(key).isNotNull()).select(
-        F.col(snapshot).alias("snapshot"), F.col(key).alias("id"), F.unix_micros(as_instant(at)).alias("_at"),
-        F.unhex(F.md5(content(rows, fields, exact))).alias("_h"))
-    latest = narrow.groupBy("snapshot", "id").agg(F.max(F.struct("_at", "_h")).alias("_m"))
-    return latest.select("snapshot", "id", F.col("_m._h").alias("h"))
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col(key).alias("_id"), F.unix_micros(as_instant(at)).alias("_at"), content_hash(rows, fields, exact).alias("_h"))
+    latest = narrow.groupBy(*[f"_by_{c}" for c in by], "_id").agg(F.max(F.struct("_at", "_h")).alias("_m"))
+    return latest.select(*[F.col(f"_by_{c}").alias(c) for c in by], F.col("_id").alias("id"), F.col("_m._h").alias("h"))
 
 
 class SnapshotIndex:
-    """The bucketed key-to-hash index and its probe."""
+    """The bucketed key-to-hash index of the last snapshot, kept in a folder: ``index.json`` names the version that counts.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
-        self.spark = spark
-        self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.table: str | None = None
+    The number of buckets is fixed when the folder is made. A catalogue entry exists only while the index is probed.
+    """
 
-    def swap(self, index: DataFrame) -> "SnapshotIndex":
-        """Make ``index`` (of :func:`key_index`, one or several snapshots) the kept one."""
-        name = f"skarn_index_{uuid.uuid4().hex}"
-        path = scratch_path(self.spark, "snapshot-index")
-        (index.repartition(self.buckets, "id").write.format("parquet").partitionBy("snapshot")
-         .bucketBy(self.buckets, "id").sortBy("id").option("path", path).saveAsTable(name))
-        self.drop()
-        self.table = name
-        return self
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        if exists(spark, f"{self.path}/index.json"):
+            self.state = json.loads(read_text(spark, f"{self.path}/index.json"))
+        else:
+            self.state = {"snapshot": None, "version": None, "buckets": buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))}
 
-    def drop(self) -> None:
-        if self.table:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
-        self.table = None
+    @property
+    def snapshot(self) -> str | None:
+        """The snapshot that is kept, None before the first."""
+        return self.state["snapshot"]
 
-    def of(self, snapshot: str) -> DataFrame:
-        return self.spark.table(self.table).where(F.col("snapshot") == snapshot).select("id", "h")
+    def _table(self, version: str) -> str:
+        """A version as a catalogue table, through which Spark knows the buckets."""
+        name = f"skarn_index_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} (id STRING, h BINARY) USING parquet CLUSTERED BY (id) SORTED BY (id) INTO {self.state['buckets']} BUCKETS LOCATION '{self.path}/{version}'")
+        return name
+
+    def advance(self, fresh: DataFrame, snapshot: str, changes: str | None = None) -> DataFrame | None:
+        """Compare ``fresh(id, h)``, of :func:`key_index`, with the kept index and keep it instead.
+
+        The changes ``(crawl_id, id, change_kind, old_h, new_h)`` are written to the folder ``changes`` and read from there;
+        the first snapshot has none. The new version is written beside the old one and only then named in ``index.json``; a delivery
+        that fails before that can be repeated. The snapshot that is kept already isn't taken again.
+        """
+        if snapshot == self.snapshot:
+            raise ValueError(f"snapshot {snapshot!r} is kept already")
+        before, version = self.state["version"], f"v-{uuid.uuid4().hex}"
+        new = self._table(version)
+        old = self._table(before) if before else None
+        try:
+            n = self.state["buckets"]
+            fresh.select("id", "h").repartition(n, "id").sortWithinPartitions("id").write.insertInto(new)
+            out = None
+            if old:
+                where = changes or scratch_path(self.spark, "changes")
+                probe(self.spark.table(old), self.spark.table(new), snapshot).write.mode("overwrite").parquet(where)
+                out = self.spark.read.schema(CHANGES).parquet(where)
+        finally:
+            for t in (new, old):
+                if t:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self.state = self.state | {"snapshot": snapshot, "version": version}
+        replace_text(self.spark, f"{self.path}/index.json", json.dumps(self.state))
+        if before:
+            delete(self.spark, f"{self.path}/{before}")
+        return out
 
 
 def probe(old: DataFrame, new: DataFrame, snapshot: str) -> DataFrame:
-    """``(crawl_id, id, change_kind)`` from two indexes ``(id, h)``."""
-    o, n = old.select("id", F.col("h").alias("_o")), new.select("id", F.col("h").alias("_n"))
-    kind = F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(F.col("_o") != F.col("_n"), "changed")
-    return o.join(n, "id", "full_outer").select(F.lit(snapshot).alias("crawl_id"), "id", kind.alias("change_kind")).where("change_kind is not null")
+    """``(crawl_id, id, change_kind, old_h, new_h)`` from two indexes ``(id, h)``."""
+    o, n = old.select("id", F.col("h").alias("old_h")), new.select("id", F.col("h").alias("new_h"))
+    kind = F.when(F.col("old_h").isNull(), "added").when(F.col("new_h").isNull(), "removed").when(F.col("old_h") != F.col("new_h"), "changed")
+    return o.join(n, "id", "full_outer").select(F.lit(snapshot).alias("crawl_id"), "id", kind.alias("change_kind"), "old_h", "new_h").where("change_kind is not null")
 
 
-def snapshot_changes(rows: DataFrame, order: list[str], fields: list[str], exact: list[str], snapshot: str = "crawl_id", key: str = "id", at: str = "crawled_at", buckets: int | None = None) -> DataFrame:
-    """Changes between consecutive snapshots of ``order``, each compared with the one before.
+def snapshot_changes(rows: DataFrame, order: list[str], fields: list[str], exact: list[str], snapshot: str = "crawl_id", key: str = "id", at: str = "crawled_at", index: SnapshotIndex | None = None) -> DataFrame:
+    """The changes of each snapshot of ``order``, compared with the one before; the first is compared with what ``index`` keeps, if it keeps one.
 
-    One pass over ``rows`` hashes all of them into the index; each pair is then joined bucket
-    by bucket. Late rows belong to the snapshot they name. No or one snapshot: no changes.
+    ``rows`` are hashed in one pass, whose result lies by snapshot; then the index advances from snapshot to snapshot. Late rows belong
+    to the snapshot they name. Without an ``index`` one is kept for this call. No or one snapshot: no changes.
     """
     spark = rows.sparkSession
-    if len(order) < 2:
+    if not order:
         return spark.createDataFrame([], CHANGES)
-    wanted = rows.where(F.col(snapshot).isin(order))
-    index = SnapshotIndex(spark, buckets).swap(key_index(wanted, snapshot, fields, exact, key, at))
-    out = None
-    for before, after in zip(order, order[1:]):
-        one = probe(index.of(before), index.of(after), after)
-        out = one if out is None else out.unionByName(one)
-    return out
+    index = index or SnapshotIndex(spark, scratch_path(spark, "snapshot-index"))
+    hashed, out = scratch_path(spark, "snapshot-hashes"), scratch_path(spark, "changes")
+    wanted = rows.where(F.col(snapshot).isin(order)).withColumn("_snapshot", F.col(snapshot))
+    key_index(wanted, fields, exact, ("_snapshot",), key, at).write.partitionBy("_snapshot").parquet(hashed)
+    known = spark.read.schema("id string, h binary, _snapshot string").parquet(hashed)
+    for i, name in enumerate(order):
+        index.advance(known.where(F.col("_snapshot") == name), name, f"{out}/step={i}")
+    return spark.read.schema(CHANGES).option("basePath", out).parquet(f"{out}/step=*").select("crawl_id", "id", "change_kind", "old_h", "new_h") if exists(spark, out) else spark.createDataFrame([], CHANGES)
 
 
-def changed_values(changes: DataFrame, rows: DataFrame, order: list[str], columns: list[str], snapshot: str = "crawl_id", key: str = "id", at: str = "crawled_at") -> DataFrame:
+def changed_values(changes: DataFrame, rows: DataFrame, order: list[str], fields: list[str], exact: list[str], snapshot: str = "crawl_id", key: str = "id") -> DataFrame:
     """Old and new values of the changed ids only: ``crawl_id, id, field_name, old_value, new_value``.
 
-    The ids that changed are joined to the rows before anything is sorted or compared; values come out as JSON text.
+    The ids that changed are joined to the rows before anything is hashed or compared, and of an id's rows in a snapshot
+    those are taken whose hash is the index's, so that the values are those that were compared. ``fields`` come out without outer
+    spaces and empty for null, ``exact`` ones as JSON text.
     """
     spark = rows.sparkSession
-    steps = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:])], "before string, after string")
-    ids = changes.where("change_kind = 'changed'").join(F.broadcast(steps), F.col("crawl_id") == F.col("after"))
-    asked = ids.select(F.explode(F.array(F.struct(F.col("before").alias("snap"), F.lit("old").alias("side")), F.struct(F.col("after").alias("snap"), F.lit("new").alias("side")))).alias("_a"), F.col("after").alias("_after"), F.col("id").alias("_id")).select("_a.*", "_after", "_id")
-    body = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("{}")) for c in columns]))
-    found = asked.join(rows.select(F.col(snapshot).alias("snap"), F.col(key).alias("_id"), as_instant(at).alias("_at"), body.alias("_body")), ["snap", "_id"])
-    entries = lambda side: F.max_by(F.when(F.col("side") == side, F.map_entries("_body")), F.when(F.col("side") == side, F.struct(F.unix_micros("_at"), F.to_json("_body"))))
-    both = found.groupBy("_after", "_id").agg(entries("old").alias("_old"), entries("new").alias("_new"))
-    pairs = both.select("_after", "_id", F.explode(F.arrays_zip("_old", "_new")).alias("_p"))
-    return (pairs.where("_p._old.value <> _p._new.value")
-            .select(F.col("_after").alias("crawl_id"), F.col("_id").alias("id"), F.col("_p._old.key").alias("field_name"), F.get_json_object("_p._old.value", "$.v").alias("old_value"), F.get_json_object("_p._new.value", "$.v").alias("new_value")))
+    steps = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:])], "_before string, _after string")
+    ids = changes.where("change_kind = 'changed'").join(F.broadcast(steps), F.col("crawl_id") == F.col("_after"))
+    sides = F.array(*[F.struct(F.col(snap).alias("_snap"), F.col(h).alias("_h"), F.lit(side).alias("_side")) for snap, h, side in (("_before", "old_h", "old"), ("_after", "new_h", "new"))])
+    asked = ids.select(F.col("id").alias("_id"), "_after", F.explode(sides).alias("_a")).select("_id", "_after", "_a.*")
+    compared = rows.select(*dict.fromkeys([snapshot, key, *fields, *exact]))
+    found = asked.join(compared, (F.col("_id") == compared[key]) & (F.col("_snap") == compared[snapshot])).where(content_hash(compared, fields, exact) == F.col("_h"))
+    text = lambda c: _clean(F.col(c)) if c in fields else F.get_json_object(F.to_json(F.struct(F.col(c).alias("v"))), "$.v")
+    body = F.array(*[F.struct(F.lit(c).alias("name"), text(c).alias("value")) for c in [*fields, *exact]])
+    of = lambda side: F.max(F.when(F.col("_side") == side, body))
+    both = found.groupBy("_after", "_id").agg(of("old").alias("_old"), of("new").alias("_new"))
+    pairs = both.select("_after", "_id", F.explode(F.arrays_zip("_old", "_new")).alias("_p")).where("not (_p._old.value <=> _p._new.value)")
+    return pairs.select(F.col("_after").alias("crawl_id"), F.col("_id").alias("id"), F.col("_p._old.name").alias("field_name"), F.col("_p._old.value").alias("old_value"), F.col("_p._new.value").alias("new_value"))

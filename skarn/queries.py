@@ -39,14 +39,14 @@ def _finished(spark: SparkSession, d: str) -> list[str]:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot_changes(_table(spark, d, "crawl_records"), _finished(spark, d), COMPARED, ["authors"])
+    return snapshot_changes(_table(spark, d, "crawl_records"), _finished(spark, d), COMPARED, ["authors"]).select("crawl_id", "id", "change_kind")
 
 
 def p3_values(spark: SparkSession, d: str) -> DataFrame:
-    """The fields that changed with their old and new values, as stored."""
+    """The fields that changed with their old and new values, as compared."""
     rows = _table(spark, d, "crawl_records")
     order = _finished(spark, d)
-    return changed_values(snapshot_changes(rows, order, COMPARED, ["authors"]), rows, order, [*COMPARED, "authors"])
+    return changed_values(snapshot_changes(rows, order, COMPARED, ["authors"]), rows, order, COMPARED, ["authors"])
 
 
 def _publications(spark: SparkSession, d: str) -> DataFrame:
@@ -377,10 +377,10 @@ _LATEST = "row_number() OVER (PARTITION BY {0} ORDER BY try_cast(nullif(trim(cra
 _NORMAL = ", ".join(f"trim(coalesce({c}, '')) AS {c}" for c in COMPARED)
 _SNAPSHOTS = f"""WITH o AS (SELECT crawl_id, row_number() OVER (ORDER BY started_at, crawl_id) AS k FROM crawls WHERE finished_at IS NOT NULL),
     r AS (SELECT k, r.*, {_LATEST.format('k, id')} AS rn FROM crawl_records r JOIN o USING (crawl_id)),
-    s AS (SELECT k, id, authors, {_NORMAL}, title AS t0, journal AS j0, year AS y0, doi AS d0 FROM r WHERE rn = 1),
+    s AS (SELECT k, id, authors, {_NORMAL} FROM r WHERE rn = 1),
     c AS (SELECT coalesce(n.k, p.k + 1) AS k, coalesce(n.id, p.id) AS id, CASE WHEN p.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed'
             WHEN n.authors IS DISTINCT FROM p.authors OR n.title <> p.title OR n.abstract <> p.abstract OR n.journal <> p.journal OR n.year <> p.year OR n.doi <> p.doi OR n.keywords <> p.keywords THEN 'changed' END AS change_kind,
-            p.t0 AS pt, n.t0 AS nt, p.j0 AS pj, n.j0 AS nj, p.y0 AS py, n.y0 AS ny, p.d0 AS pd, n.d0 AS nd
+            p AS p, n AS n
           FROM s n FULL JOIN s p ON n.id = p.id AND n.k = p.k + 1)"""
 _MIDDLE = "FROM c JOIN o USING (k) WHERE c.change_kind IS NOT NULL AND k > 1"
 _CUR = f"cur AS (SELECT * EXCLUDE (rn) FROM (SELECT *, {_LATEST.format('id')} AS rn FROM publications) WHERE rn = 1)"
@@ -434,9 +434,8 @@ _POINTS = """WITH p AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, un
 
 
 def oracle_sql() -> dict[str, str]:
-    values = " UNION ALL ".join(
-        f"SELECT crawl_id, id, '{f}' AS field_name, p{x} AS old_value, n{x} AS new_value {_MIDDLE} AND change_kind = 'changed' AND p{x} IS DISTINCT FROM n{x}"
-        for f, x in (("title", "t"), ("journal", "j"), ("year", "y"), ("doi", "d")))
+    texts = {f: (f"p.{f}", f"n.{f}") for f in COMPARED} | {"authors": ("to_json(p.authors)::VARCHAR", "to_json(n.authors)::VARCHAR")}
+    values = " UNION ALL ".join(f"SELECT crawl_id, id, '{f}' AS field_name, {old} AS old_value, {new} AS new_value {_MIDDLE} AND change_kind = 'changed' AND {old} IS DISTINCT FROM {new}" for f, (old, new) in texts.items())
     year = "coalesce(year, '')"
     return {
         "p3_found": f"{_SNAPSHOTS} SELECT crawl_id, id, change_kind {_MIDDLE}",

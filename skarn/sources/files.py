@@ -21,11 +21,11 @@ def delete(spark: SparkSession, path: str) -> bool:
 
 
 def rename(spark: SparkSession, old: str, new: str) -> bool:
-    """Move ``old`` to ``new``, replacing it."""
+    """Move a folder to a place where nothing stands."""
     p, fs = _fs(spark, old)
     q, _ = _fs(spark, new)
     if fs.exists(q):
-        fs.delete(q, True)
+        raise FileExistsError(new)
     return fs.rename(p, q)
 
 
@@ -54,6 +54,10 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
 
 
 def replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file beside its place and move it there."""
+    """Write a small file beside its place and move it over what stands there, in one step: a reader sees the old text or the new."""
     write_bytes(spark, path + ".tmp", text.encode())
-    rename(spark, path + ".tmp", path)
+    jvm = spark._jvm
+    p, q = (_fs(spark, x)[1].makeQualified(_fs(spark, x)[0]) for x in (path + ".tmp", path))
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(q.toUri(), spark._jsc.hadoopConfiguration()).rename(p, q, over)

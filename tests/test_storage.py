@@ -9,7 +9,7 @@ from skarn.collection import Collection
 from skarn.functions.analyzer import Analyzer
 from skarn.operators import log
 from skarn.operators.current import current_records
-from skarn.operators.snapshots import changed_values, snapshot_changes
+from skarn.operators.snapshots import SnapshotIndex, changed_values, key_index, snapshot_changes
 from skarn.plans.schema import CollectionSchema, Field
 from skarn.queries import p3_values
 from skarn.session import lookup_join, written
@@ -118,10 +118,30 @@ def test_snapshots(spark):
     back = snapshot_changes(df, ["2", "1"], FIELDS, ["authors"])
     assert {(r.id, r.change_kind) for r in back.collect()} == {("authors", "changed"), ("null", "changed"), ("gone", "added"), ("new", "removed")}
     assert snapshot_changes(df, ["1"], FIELDS, ["authors"]).count() == 0 and snapshot_changes(df.limit(0), ["1", "2"], FIELDS, ["authors"]).count() == 0
-    values = changed_values(got, df, ["1", "2"], ["title", "authors"]).collect()
+    values = changed_values(got, df, ["1", "2"], FIELDS, ["authors"]).collect()
     assert {(r.id, r.field_name, r.old_value, r.new_value) for r in values} == {("authors", "authors", '["a","b"]', '["ab"]'), ("null", "authors", None, "[null]")}
 
 
+def test_kept_index(spark, tmp_path):
+    """One delivery after the other, each by a new object; a tie in time and outer blanks beside a real change."""
+    row = lambda *r: spark.createDataFrame(list(r), ROW)
+    first = row(("1", "tie", "b", "x", [], None, "u"), ("1", "tie", "a", "x", [], None, "u"), ("1", "blank", " t ", "x", [], None, "u"), ("1", "gone", "t", "x", [], None, "u"))
+    second = row(("2", "tie", "c", "x", [], None, "u"), ("2", "tie", "d", "x", [], None, "u"), ("2", "blank", "t", "y", [], None, "u"), ("2", "fresh", "t", None, [], None, "u"))
+    path = f"file://{tmp_path}/index"
+    assert SnapshotIndex(spark, path).advance(key_index(first, FIELDS, ["authors"]), "1") is None
+    got = SnapshotIndex(spark, path).advance(key_index(second, FIELDS, ["authors"]), "2")
+    assert {(r.crawl_id, r.id, r.change_kind) for r in got.collect()} == {("2", "tie", "changed"), ("2", "blank", "changed"), ("2", "gone", "removed"), ("2", "fresh", "added")}
+    kept = SnapshotIndex(spark, path)
+    assert kept.snapshot == "2" and len([p for p in (tmp_path / "index").iterdir() if p.is_dir()]) == 1
+    with pytest.raises(ValueError):
+        kept.advance(key_index(second, FIELDS, ["authors"]), "2")
+    values = {(r.id, r.field_name): (r.old_value, r.new_value) for r in changed_values(got, first.unionByName(second), ["1", "2"], FIELDS, ["authors"]).collect()}
+    assert set(values) == {("tie", "title"), ("blank", "doi")} and values["blank", "doi"] == ("x", "y") and values["tie", "title"][0] in "ab" and values["tie", "title"][1] in "cd"
+    again = kept.advance(key_index(second.limit(0), FIELDS, ["authors"]), "3")
+    assert {r.change_kind for r in again.collect()} == {"removed"} and again.count() == 3 and kept.advance(key_index(second, FIELDS, ["authors"]), "4").count() == 3
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("skarn_index")]
+
+
 def test_archive(spark, tmp_path):
     root = f"file://{tmp_path}/crawls"
     recs = spark.createDataFrame([("https://h/en/publications/x-1/", "T", "u", [("A B", "")], ["I"], "", "J", "2020", "", "", "")], archive.PUBLICATION)
