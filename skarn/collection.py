@@ -1,11 +1,13 @@
 """A collection: a folder with a change log, its settings and the tables derived from it.
 
     meta.json            settings; on reopening they win over the arguments
-    log/batch=NNN/       JSON lines {"op", "id", "doc", "seq"}; appended, never changed
-    tables/vNNN/         documents and index of the state after a batch; always rebuilt from the log
+    log/batch=NNN/       JSON lines {"op", "id", "doc", "batch", "n"}; appended, never changed
+    tables/vNNN/         documents and index of the state after a batch
 
-Readers keep the version they opened. A new version or a compacted log is written beside the
-old one and then takes its place in ``meta.json``.
+The tables follow the log: a refresh reads only the batches since, analyzes only the documents they
+touch and takes everything else over. Readers keep the version they opened. A new version or a
+compacted log is written beside the old one and then takes its place in ``meta.json``; what it
+replaces is deleted by the next one, so that a reader who has just opened it can finish.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.analyzer import Analyzer
@@ -21,10 +23,17 @@ from skarn.operators import log as oplog
 from skarn.operators.index import Index, build_index
 from skarn.operators.ranking import Scorer, resolve, search, total_hits
 from skarn.plans.schema import CollectionSchema
-from skarn.sources.files import delete, exists, read_text, replace_text
+from skarn.session import written
+from skarn.sources.files import delete, exists, list_names, read_text, replace_text
 
-VERSION = 1
-LOG = "op string, id string, doc string, seq long"
+VERSION = 2
+LINE = "op string, id string, doc string, batch long, n long"
+LOG = "op string, id string, doc string, seq struct<batch: long, n: long>"
+
+
+def _corrupt() -> Column:
+    r = F.col("_r")
+    return r.isNull() | r["n"].isNull() | ~F.coalesce(r["op"].isin("put", "delete"), F.lit(False))
 
 
 @dataclass
@@ -75,9 +84,10 @@ class Collection:
             raise RuntimeError("the collection is open for reading only")
 
     def _append(self, ops: DataFrame) -> None:
+        """One more batch; its rows keep their order by partition and row."""
         batch = self._meta["batches"]
-        seq = F.lit(batch).cast("long") * F.lit(2**42) + F.monotonically_increasing_id() % F.lit(2**42)
-        ops.withColumn("seq", seq).write.mode("overwrite").json(f"{self.path}/{self._meta['log']}/batch={batch:09d}")
+        numbered = ops.withColumns({"batch": F.lit(batch).cast("long"), "n": F.monotonically_increasing_id()})
+        numbered.write.mode("overwrite").json(f"{self.path}/{self._meta['log']}/batch={batch:09d}")
         self._save(batches=batch + 1)
 
     def add_many(self, docs: DataFrame) -> int:
@@ -111,38 +121,78 @@ class Collection:
         self.delete_many(self.spark.createDataFrame([(key,)], f"{self.schema.id_field} string"))
         return True
 
-    def log(self) -> DataFrame:
-        """The log as ``(op, id, doc, seq)``; a line that can't be read raises and names its file."""
-        where = f"{self.path}/{self._meta['log']}"
-        if not exists(self.spark, where):
+    def log(self, since: int = 0) -> DataFrame:
+        """The log as ``(op, id, doc, seq)`` from batch ``since`` on; a line that can't be read raises and names its file. See :meth:`corrupt_lines`."""
+        folders = [f"{self.path}/{self._meta['log']}/{n}" for n in list_names(self.spark, f"{self.path}/{self._meta['log']}") if int(n.partition("=")[2]) >= since]
+        if not folders:
             return self.spark.createDataFrame([], LOG)
-        raw = self.spark.read.text(where).select("value", F.col("_metadata.file_path").alias("_file"))
-        parsed = raw.where("trim(value) <> ''").withColumn("_r", F.from_json("value", LOG))
-        bad = F.col("_r").isNull() | F.col("_r.seq").isNull() | ~F.coalesce(F.col("_r.op").isin("put", "delete"), F.lit(False))
-        checked = F.when(bad, F.raise_error(F.concat(F.lit("corrupt log line in "), F.col("_file"), F.lit(": "), F.left("value", F.lit(80)))).cast(f"struct<{LOG.replace(' ', ':').replace(',:', ',')}>")).otherwise(F.col("_r"))
-        return parsed.select(checked.alias("_r")).select("_r.*")
-
-    def documents(self) -> DataFrame:
-        """The live documents with ``internal_id``, in the columns that were ever added."""
-        live = oplog.dense_ids(oplog.replay(self.log()), "born")
+        raw = self.spark.read.text(folders).select("value", F.col("_metadata.file_path").alias("_file"))
+        parsed = raw.where("trim(value) <> ''").withColumn("_r", F.from_json("value", LINE))
+        said = F.raise_error(F.concat(F.lit("corrupt log line in "), F.col("_file"), F.lit(": "), F.left("value", F.lit(80))))
+        checked = F.when(_corrupt(), said.cast(f"struct<{LINE.replace(' ', ':').replace(',:', ',')}>")).otherwise(F.col("_r"))
+        return parsed.select(checked.alias("_r")).select("_r.op", "_r.id", "_r.doc", F.struct("_r.batch", "_r.n").alias("seq"))
+
+    def corrupt_lines(self) -> DataFrame:
+        """``(file, line, text)`` of the log lines that can't be read, counted from 1. Only the files that hold one are read whole."""
+        raw = self.spark.read.text(f"{self.path}/{self._meta['log']}").select("value", F.col("_metadata.file_path").alias("file"))
+        bad = raw.where("trim(value) <> ''").withColumn("_r", F.from_json("value", LINE)).where(_corrupt()).select("file").distinct()
+        files = [r.file for r in bad.collect()]
+        if not files:
+            return self.spark.createDataFrame([], "file string, line int, text string")
+        whole = self.spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+        return whole.where("trim(value) <> ''").withColumn("_r", F.from_json("value", LINE)).where(_corrupt()).select("file", (F.col("line") + 1).alias("line"), F.col("value").alias("text"))
+
+    def _documents(self, bodies: DataFrame) -> DataFrame:
         columns = self._meta["columns"] or {f.name: "string" for f in self.schema.fields}
         kind = ", ".join(f"`{c}` {t}" for c, t in columns.items())
-        return live.select("internal_id", F.from_json("doc", kind).alias("_d")).select("internal_id", "_d.*")
+        return bodies.select("internal_id", F.from_json("doc", kind).alias("_d")).select("internal_id", "_d.*")
+
+    def documents(self) -> DataFrame:
+        """The live documents with ``internal_id``, in the columns that were ever added, replayed from the whole log."""
+        return self._documents(oplog.dense_ids(oplog.replay(self.log()), "born"))
 
     def refresh(self) -> "Collection":
-        """Write documents and index of the present state and make them the current tables."""
+        """Bring the tables to the state of the log: only the batches since the last time are read, and only the documents they name analyzed anew.
+
+        An update keeps a document's internal id; a document that is new, or comes back after a delete, gets the next free one, in order of arrival.
+        Ids are never given twice (``next_id`` in the settings).
+        """
         self._may_write()
-        version = f"tables/v{self._meta['batches']:09d}"
-        docs = self.documents()
-        docs.write.mode("overwrite").parquet(f"{self.path}/{version}/documents")
-        stored = self.spark.read.parquet(f"{self.path}/{version}/documents")
-        build_index(stored, self.schema, self.analyzer).write(f"{self.path}/{version}/index")
-        self._save(tables=version)
+        batches, key = self._meta["batches"], self.schema.id_field
+        target, before = f"tables/v{batches:09d}", self._meta["tables"]
+        if self._meta.get("covered") == batches and before:
+            return self
+        try:
+            fresh = written(oplog.last_ops(self.log(self._meta.get("covered") or 0)), "touched")
+        except Exception as error:
+            if lines := self.corrupt_lines().limit(10).collect():
+                raise ValueError("; ".join(f"{r.file}: corrupt entry on line {r.line}" for r in lines)) from error
+            raise
+        old = self.spark.read.parquet(f"{self.path}/{before}/documents") if before else None
+        known = old.select(F.col(key).cast("string").alias("id"), "internal_id") if old is not None else self.spark.createDataFrame([], "id string, internal_id long")
+        touched = written(fresh.join(known, "id", "left"), "touched")
+        puts = touched.where("op = 'put'")
+        kept = puts.where("internal_id is not null and not renewed").select("internal_id", "doc")
+        new = oplog.dense_ids(puts.where("internal_id is null or renewed").select("doc", "born"), "born", start=self._meta.get("next_id") or 0)
+        added = written(kept.unionByName(new.select("internal_id", "doc")), "added")
+        gone = touched.where("internal_id is not null").select(F.col("internal_id").alias("doc"))
+        docs = self._documents(added)
+        if old is not None:
+            docs = old.join(gone.withColumnRenamed("doc", "internal_id"), "internal_id", "left_anti").unionByName(docs, allowMissingColumns=True)
+        docs.write.mode("overwrite").parquet(f"{self.path}/{target}/documents")
+        index = build_index(self._documents(added), self.schema, self.analyzer)
+        if before:
+            index = Index.read(self.spark, f"{self.path}/{before}/index", self.schema, self.analyzer).without(gone).joined(index)
+        index.write(f"{self.path}/{target}/index")
+        top = self.spark.read.parquet(f"{self.path}/{target}/documents").agg(F.max("internal_id")).first()[0]
+        last = self._meta.get("replaced")
+        self._save(tables=target, covered=batches, next_id=max(self._meta.get("next_id") or 0, 0 if top is None else top + 1), replaced=before)
+        if last:
+            delete(self.spark, f"{self.path}/{last}")
         return self
 
     def _current(self) -> None:
-        wanted = f"tables/v{self._meta['batches']:09d}"
-        if self._meta["tables"] != wanted and not self.read_only:
+        if self._meta.get("covered") != self._meta["batches"] and not self.read_only:
             self.refresh()
 
     def stored(self) -> DataFrame:
@@ -164,7 +214,7 @@ class Collection:
         index = self.index()
         hits = search(index, query, scorer, limit, offset)
         docs = self.stored()
-        columns = [f.name for f in self.schema.stored() if f.name in docs.columns and f.name != self.schema.id_field]
+        columns = [n for n in self.schema.names("stored") if n in docs.columns and n != self.schema.id_field]
         page = docs.join(F.broadcast(hits), docs["internal_id"] == hits["doc"]).select("rank", F.col(self.schema.id_field).alias("id"), "score", *columns).orderBy("rank")
         return Results(page, total_hits(index, query), query, scorer if isinstance(scorer, str) else "bm25" if scorer is None else "custom")
 
@@ -172,6 +222,13 @@ class Collection:
         row = self.stored().where(F.col(self.schema.id_field).cast("string") == key).first()
         return row.asDict(recursive=True) if row else None
 
+    def by_internal_id(self, number: int) -> dict | None:
+        row = self.stored().where(F.col("internal_id") == number).first()
+        return row.asDict(recursive=True) if row else None
+
+    def __contains__(self, key: str) -> bool:
+        return not self.stored().where(F.col(self.schema.id_field).cast("string") == key).isEmpty()
+
     def __len__(self) -> int:
         return self.stored().count()
 
@@ -185,13 +242,17 @@ class Collection:
         return oplog.should_compact(n, n - dead, self.compact_ratio, self.compact_least)
 
     def compact(self) -> int:
-        """Rewrite the log to its live puts; returns how many entries were dropped."""
+        """Rewrite the log to its live puts; returns how many entries were dropped. The tables stay as they are."""
         self._may_write()
+        self._current()
         n, dead = self.entries()
-        old, new = self._meta["log"], f"log-{self._meta['batches']:09d}"
-        oplog.compacted(self.log()).write.mode("overwrite").json(f"{self.path}/{new}/batch=000000000")
-        self._save(log=new, batches=self._meta["batches"] + 1)
-        delete(self.spark, f"{self.path}/{old}")
+        old, new, batches = self._meta["log"], f"log-{self._meta['batches']:09d}", self._meta["batches"]
+        live = oplog.compacted(self.log()).select("op", "id", "doc", "seq.*")
+        live.write.mode("overwrite").json(f"{self.path}/{new}/batch=000000000")
+        last = self._meta.get("replaced_log")
+        self._save(log=new, batches=batches + 1, covered=batches + 1, replaced_log=old)
+        if last:
+            delete(self.spark, f"{self.path}/{last}")
         return dead
 
     def sync(self) -> bool:

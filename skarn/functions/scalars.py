@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Letters with accents and what they become without them; units of intervals in seconds.
-ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿçñÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÇÑ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyycnAAAAAAEEEEIIIIOOOOOUUUUYCN"
+# Units of intervals in seconds.
 UNITS = {"min": 60, "mins": 60, "minute": 60, "minutes": 60, "h": 3600, "hr": 3600, "hrs": 3600, "hour": 3600, "hours": 3600, "d": 86400, "day": 86400, "days": 86400,
          "w": 604800, "wk": 604800, "wks": 604800, "week": 604800, "weeks": 604800, "mo": 2592000, "mos": 2592000, "month": 2592000, "months": 2592000}
 
 
-def slugify(name: Column) -> Column:
-    """Lower-case ASCII words joined by ``-``; accents are dropped, other letters outside ASCII left out."""
-    ascii_only = F.regexp_replace(F.translate(name, ACCENTED, PLAIN), r"[^\x00-\x7f]", "")
-    return F.trim(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", "-"), F.lit("-"))
+@lru_cache(maxsize=100_000)
+def slug_of(name: str | None) -> str | None:
+    """Lower-case ASCII words joined by ``-``; letters are decomposed, accents and what has no ASCII form are left out."""
+    if name is None:
+        return None
+    plain = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode()
+    return re.sub("[^a-z0-9]+", "-", plain.lower()).strip("-")
 
 
-def author_key(name: Column) -> Column:
-    """First initial and last word of the slug."""
-    words = F.split(slugify(name), "-")
+@F.pandas_udf(T.StringType())
+def slugify(name: pd.Series) -> pd.Series:
+    """:func:`slug_of` as a column: Unicode decomposition has no built-in expression."""
+    return name.map(slug_of)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def slugify_all(names: pd.Series) -> pd.Series:
+    """:func:`slug_of` of every element."""
+    return names.map(lambda a: None if a is None else [slug_of(x) for x in a])
+
+
+def slug_key(slug: Column) -> Column:
+    """First initial and last word of a slug."""
+    words = F.split(slug, "-")
     return F.struct(F.left(F.element_at(words, 1), F.lit(1)).alias("initial"), F.element_at(words, -1).alias("surname"))
 
 
+def author_key(name: Column) -> Column:
+    return slug_key(slugify(name))
+
+
 def url_slug(url: Column) -> Column:
     return F.element_at(F.split(F.rtrim(url, F.lit("/")), "/"), -1)
 
@@ -72,12 +95,13 @@ def backoff_seconds(delay: Column, attempt: Column, retry_after: Column) -> Colu
     return F.greatest(delay * F.pow(F.lit(2.0), attempt), F.coalesce(retry_after, F.lit(0.0)))
 
 
-def parse_interval(text: Column) -> Column:
-    """Seconds of '1week', '100h', '2 months'; null if it isn't a number with a known unit."""
+def parse_interval(text: Column, strict: bool = False) -> Column:
+    """Seconds of '1week', '100h', '2 months'; for anything but a number with a known unit null, or an error if ``strict``."""
     clean = F.lower(F.trim(text))
     number = F.regexp_extract(clean, r"^(\d+(?:\.\d+)?)\s*([a-z]+)$", 1)
     unit = F.create_map(*[F.lit(x) for k, v in UNITS.items() for x in (k, float(v))])[F.regexp_extract(clean, r"^(\d+(?:\.\d+)?)\s*([a-z]+)$", 2)]
-    return number.try_cast("double") * unit
+    seconds = number.try_cast("double") * unit
+    return F.coalesce(seconds, F.raise_error(F.concat(F.lit("no interval: "), F.coalesce(text, F.lit("null")))).cast("double")) if strict else seconds
 
 
 def format_duration(seconds: Column) -> Column:
@@ -114,6 +138,12 @@ def bar_width(value: Column, low: Column, high: Column) -> Column:
     return F.when(high == low, F.lit(100.0)).otherwise(25 + (high - value) / (high - low) * 75)
 
 
+def sorted_distances(distances: Column) -> Column:
+    """A map of distances as ``array<struct<distance, category, gap>>``, nearest first, with the gap to the nearest."""
+    nearest = F.array_min(F.map_values(distances))
+    return F.array_sort(F.transform(F.map_entries(distances), lambda e: F.struct(e["value"].alias("distance"), e["key"].alias("category"), (e["value"] - nearest).alias("gap"))))
+
+
 def verdict(margin: Column, matched: Column) -> Column:
     return F.when(matched == 0, "no known terms").when(margin < 0.01, "too close to call").when(margin < 0.04, "a narrow call").otherwise("clear")
 

@@ -12,22 +12,17 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skarn.functions.analyzer import Analyzer
 from skarn.functions.terms import term_counts
-from skarn.session import written
+from skarn.session import scratch_path, written
 from skarn.sources.files import read_text, replace_text
 
 
-@F.udf(VectorUDT())  # there is no built-in from arrays to a sparse vector; only fits use it
-def _sparse(size, indices, values):  # noqa: ANN001, ANN202
-    return Vectors.sparse(size, indices, values)
-
-
 @dataclass(frozen=True)
 class Vocabulary:
     """The terms of the vectors in alphabetical order, with their idf. Bounded by ``max_features``."""
@@ -78,8 +73,15 @@ def sparse_rows(docs: DataFrame, vocabulary: Vocabulary, analyzer: Analyzer, key
 
 
 def vectorise(docs: DataFrame, vocabulary: Vocabulary, analyzer: Analyzer, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """:func:`sparse_rows` as ML vectors in ``features``."""
-    return sparse_rows(docs, vocabulary, analyzer, key, text).withColumn("features", _sparse(F.lit(len(vocabulary.terms)), "ix", "ws")).drop("ix", "ws")
+    """:func:`sparse_rows` as ML vectors in ``features``, as a written table: a sparse vector is stored as a struct, so rows are
+    written as that struct and read as vectors, without a function call per row."""
+    rows = sparse_rows(docs, vocabulary, analyzer, key, text)
+    stored = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(len(vocabulary.terms)).alias("size"), F.col("ix").alias("indices"), F.col("ws").alias("values"))
+    plain = rows.withColumn("features", stored).drop("ix", "ws")
+    path = scratch_path(docs.sparkSession, "vectors")
+    plain.write.parquet(path)
+    schema = T.StructType([T.StructField("features", VectorUDT()) if f.name == "features" else f for f in plain.schema.fields])
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def fit_kmeans(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 10, most_iterations: int = 300) -> KMeansModel:
@@ -125,7 +127,7 @@ class ClusterModel:
         analyzer = analyzer or Analyzer()
         terms = written(document_terms(docs, analyzer), "terms")
         vocabulary = fit_vocabulary(terms, docs.count(), max_features, min_df)
-        vectors = written(vectorise(docs, vocabulary, analyzer), "vectors")
+        vectors = vectorise(docs, vocabulary, analyzer)
         km = fit_kmeans(vectors, k, seed, restarts)
         assigned = written(km.transform(vectors).withColumnRenamed("prediction", "cluster"), "assigned")
         names = majority_names(assigned, k, label) if label else {i: f"cluster-{i}" for i in range(k)}

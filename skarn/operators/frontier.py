@@ -21,7 +21,7 @@ URLS = "url string"
 def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """``(url, depth)`` of everything reachable from ``seeds(url)`` over ``edges(src, dst)``, with its least depth.
 
-    Each round writes its new URLs; the rounds so far are merged into one table every ten rounds.
+    Each round writes its new URLs; the rounds so far are merged into one table every ten rounds. Raises if URLs are left after ``most_rounds``.
     """
     frontier = written(seeds.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)), "frontier")
     visited = frontier
@@ -33,6 +33,9 @@ def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> Da
         visited = visited.unionByName(frontier)
         if depth % 10 == 0:
             visited = written(visited, "visited")
+    else:
+        if not frontier.isEmpty():
+            raise RuntimeError(f"more than {most_rounds} rounds")
     return visited
 
 
@@ -60,12 +63,13 @@ class CrawlResult:
     stats: DataFrame
 
 
-def crawl(pages: DataFrame, organisation: str, slug: str, base: str, affiliation: str = "", require_affiliation: bool = False, crawled_at: str = "", most_rounds: int = 1000) -> CrawlResult:
+def crawl(pages: DataFrame, organisation: str, slug: str, base: str, affiliation: str = "", require_affiliation: bool = False, crawled_at: str = "", most_rounds: int = 1000, most_publications: int | None = None) -> CrawlResult:
     """The records reachable from an organisation's page within landed ``pages(url, status, html)``.
 
     Seeds are the organisation's listings, or the links of its own page where there is no listing. Every publication leads to the profiles it
     links and every member's profile (one that links the organisation) to the publications it lists. Where a listing exists, publications
     that only a profile lists are left out. Each URL is visited once; a page that is missing, unchanged or not 2xx gives nothing.
+    With ``most_publications`` only so many publications are kept, those met first (by depth, then URL).
     """
     pages = pages.withColumn("outcome", fetch_outcome(F.col("status")))
     parsed = written(with_parts(pages.where("outcome = 'ok'").select("url", "html")).drop("html").dropDuplicates(["url"]), "pages")
@@ -95,6 +99,8 @@ def crawl(pages: DataFrame, organisation: str, slug: str, base: str, affiliation
     all_pubs = pair_authors(publications(read.where(kind), base, crawled_at))
     affiliated = is_affiliated(F.col("institutions"), affiliation)
     kept = all_pubs.where(affiliated) if require_affiliation else all_pubs
+    if most_publications is not None:
+        kept = kept.join(visits.select(F.col("url").alias("id"), "depth"), "id").orderBy("depth", "id").limit(most_publications).select(*all_pubs.columns)
     profiles = read.where(~kind)
     people = persons(profiles.where(member), crawled_at)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).scalar().alias(name)

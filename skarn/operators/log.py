@@ -25,6 +25,14 @@ def replay(log: DataFrame) -> DataFrame:
     return simple.unionByName(again.select("id", "doc", "seq").join(lives, "id"))
 
 
+def last_ops(log: DataFrame) -> DataFrame:
+    """``(id, op, doc, born, renewed)``: the last entry of each id, its first put after the last delete, and whether there was a delete."""
+    log = log.where("id is not null")
+    deleted = log.groupBy("id").agg(F.max_by(F.struct("op", "doc"), "seq").alias("_last"), F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("_deleted"), F.min(F.when(F.col("op") == "put", F.col("seq"))).alias("_first"))
+    lives = replay(log).select("id", "born")
+    return deleted.join(lives, "id", "left").select("id", "_last.op", "_last.doc", "born", F.col("_deleted").isNotNull().alias("renewed"))
+
+
 def accounting(log: DataFrame) -> DataFrame:
     """One row: entries, live documents and dead entries."""
     live = replay(log).agg(F.count(F.lit(1)).alias("live_documents"))

@@ -93,7 +93,7 @@ def score(index: Index, query: str, scorer: str | Scorer | None = None) -> DataF
     scorer = resolve(scorer)
     bag = Counter(index.analyzer.analyze_text(query))
     rows = index.lookup(list(bag)) if bag else index.postings.limit(0)
-    frequency = {r.term: r.df for r in rows.groupBy("term").agg(F.count_distinct("doc").alias("df")).collect()} if bag else {}
+    frequency = index.frequencies(list(bag)) if bag else {}
     term = F.col("term")
     return _scored(rows, index, scorer, [], _literals(dict(bag), term), _literals(frequency, term), F.lit(len(frequency)))
 
@@ -112,9 +112,7 @@ def search_many(index: Index, queries: DataFrame, scorer: str | Scorer | None =
     """
     scorer = resolve(scorer)
     bags = queries.select("query_id", F.explode(index.analyzer.analyze(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = index.postings.join(bags.select("term").distinct(), "term", "left_semi")
-    frequency = asked.groupBy("term").agg(F.count_distinct("doc").alias("df"))
-    known = bags.join(frequency, "term").withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+    known = bags.join(index.term_stats(), "term").withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     scored = _scored(index.postings.join(known, "term"), index, scorer, ["query_id"], F.col("qtf"), F.col("df"), F.col("found"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "doc", "score")
@@ -151,6 +149,20 @@ def explain_bm25(index: Index, term: str, k1: float = 1.2, b: float = 0.75) -> D
                        F.round(F.col("tf") * (k1 + 1) / denominator, 6).alias("saturation"), F.round(idf * F.col("tf") * (k1 + 1) / denominator, 6).alias("score"))
 
 
+def idf_table(index: Index, frequencies: list[int]) -> DataFrame:
+    """``(df, idf)``: what a term of so many documents weighs in this collection."""
+    return index.spark.createDataFrame([(d,) for d in frequencies], "df long").withColumn("idf", F.round(bm25_idf(F.lit(index.document_count()), F.col("df")), 6))
+
+
+def length_sweep(index: Index, term: str, bs: list[float], k1: float = 1.2) -> DataFrame:
+    """``(doc, field, b, score)``: one term's score under several strengths of length normalisation."""
+    one = None
+    for b in bs:
+        part = explain_bm25(index, term, k1, b).select("doc", "field", F.lit(float(b)).alias("b"), "score")
+        one = part if one is None else one.unionByName(part)
+    return one
+
+
 def saturation_curve(index: Index, tfs: list[int], k1: float = 1.2) -> DataFrame:
     """``(tf, saturation)`` for a document of average length."""
     return index.spark.createDataFrame([(t,) for t in tfs], "tf int").withColumn("saturation", F.round(F.col("tf") * (k1 + 1) / (F.col("tf") + k1), 6))

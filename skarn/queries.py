@@ -15,7 +15,7 @@ from skarn.operators.frontier import reachable
 from skarn.operators.index import Index, build_index
 from skarn.operators.snapshots import changed_values, snapshot_changes
 from skarn.plans.schema import PUBLICATIONS
-from skarn.session import spread, written
+from skarn.session import scratch_path, spread, written
 from skarn.sources.archive import search_documents, split_valid
 from skarn.sources.corpus import balanced_sample, label_counts
 
@@ -54,9 +54,9 @@ def _publications(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str, analyzer: Analyzer = PLAIN) -> Index:
-    """The index of the current publications, written once per query as a service would keep it."""
+    """The index of the current publications, written and read again as a service keeps it."""
     docs = written(spread(_publications(spark, d).select("id", "title", "authors", "abstract", "journal")), "documents")
-    return build_index(docs, PUBLICATIONS, analyzer, "id", keep=True)
+    return build_index(docs, PUBLICATIONS, analyzer, "id", keep=True).write(scratch_path(spark, "index"))
 
 
 def analyze_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -418,7 +418,7 @@ def _hits(scorer: str, low: int = 0, high: int = 10) -> str:
 
 
 _QUESTIONS = "SELECT ref_id AS query_id, name AS text FROM ref_names"
-_SLUG = "trim(regexp_replace(lower(regexp_replace(translate(a.name, 'ÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÇÑàáâãäåèéêëìíîïòóôõöùúûüýÿçñ', 'AAAAAAEEEEIIIIOOOOOUUUUYCNaaaaaaeeeeiiiiooooouuuuyycn'), '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-')"
+_SLUG = "trim(regexp_replace(lower(regexp_replace(strip_accents(translate(a.name, '⁰¹²³⁴⁵⁶⁷⁸⁹\u00a0', '0123456789 ')), '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-')"
 _LOG = "WITH l AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS op, user_id::VARCHAR AS id, props AS doc FROM events WHERE user_id IS NOT NULL), "
 _LIVE = f"""{_LOG} x AS (SELECT id, max(seq) AS last, coalesce(max(seq) FILTER (op = 'delete'), -1) AS gone FROM l GROUP BY id),
     live AS (SELECT l.id, any_value(l.doc) FILTER (l.seq = x.last) AS doc, max(x.last) AS seq, min(l.seq) FILTER (l.op = 'put' AND l.seq > x.gone) AS born FROM l JOIN x USING (id) WHERE x.last > x.gone GROUP BY l.id)"""

@@ -50,11 +50,11 @@ class Crawl:
 
     @property
     def publication_count(self) -> int:
-        return self.manifest().get("publication_count") or 0
+        return int(self.manifest().get("publications") or 0)
 
     @property
     def person_count(self) -> int:
-        return self.manifest().get("person_count") or 0
+        return int(self.manifest().get("people") or 0)
 
 
 def write_crawl(records: DataFrame, people: DataFrame, manifest: dict, root: str, crawl_id: str | None = None) -> Crawl:
@@ -69,7 +69,7 @@ def write_crawl(records: DataFrame, people: DataFrame, manifest: dict, root: str
     for name, df in (("publication", records), ("person", people)):
         seen = Observation()
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{partial}/{name}s.jsonl")
-        counts[f"{name}_count"] = seen.get["n"]
+        counts[{"publication": "publications", "person": "people"}[name]] = seen.get["n"]
     replace_text(spark, f"{partial}/manifest.json", json.dumps({"crawl_id": crawl_id, "format_version": 1, **counts, **manifest}, indent=1))
     rename(spark, partial, final)
     return Crawl(spark, final, crawl_id)

@@ -30,10 +30,10 @@ def read_archive(spark: SparkSession, path: str, folders: dict[str, str] = FOLDE
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for name in sorted(z.namelist()):
                         parts = name.split("/")
-                        if len(parts) == 3 and parts[2].endswith(".txt") and parts[1] in folders:
+                        if len(parts) == 3 and parts[2].endswith(".txt") and parts[1].lower() in folders:
                             text = z.read(name).decode("utf-8", "replace").strip()
                             if text:
-                                rows.append((f"{where}#{name}", text, folders[parts[1]]))
+                                rows.append((f"{where}#{name}", text, folders[parts[1].lower()]))
                 yield pd.DataFrame(rows, columns=["doc_id", "text", "label"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unzip, "doc_id string, text string, label string")

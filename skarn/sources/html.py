@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skarn.functions.terms import let
-from skarn.functions.scalars import author_key, slugify, url_slug, year_of
+from skarn.functions.scalars import slug_key, slugify_all, url_slug, year_of
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Where a page keeps its abstract and its biography, in order of preference; a path is (tag, class) from outside in.
@@ -39,13 +39,16 @@ class Element:
             stack += [c for c in reversed(e.children) if isinstance(c, Element)]
 
     def texts(self) -> list[str]:
+        """The texts inside in order, without scripts and styles, at any depth."""
         out: list[str] = []
-        for c in self.children:
+        todo: list[Element | str] = list(reversed(self.children))
+        while todo:
+            c = todo.pop()
             if isinstance(c, str):
                 if c.strip():
                     out.append(c.strip())
             elif c.tag not in ("script", "style"):
-                out += c.texts()
+                todo += reversed(c.children)
         return out
 
     def has(self, tag: str, name: str) -> bool:
@@ -146,14 +149,14 @@ def publications(parsed: DataFrame, base: str, crawled_at: str = "") -> DataFram
         F.col("p.abstract").alias("abstract"), F.col("p.journal").alias("journal"), year_of(F.col("p.date")).alias("year"), F.col("p.doi").alias("doi"), F.col("p.keywords").alias("keywords"), F.lit(crawled_at).alias("crawled_at"))
 
 
-def paired(names, profiles):  # noqa: ANN001, ANN201
+def paired(names, profiles, name_slugs, link_slugs):  # noqa: ANN001, ANN201
     """Authors with their profile links as ``array<struct<name, profile_url>>``, within the row.
 
     First each link goes to the first author whose slug it bears. A link left over goes to the authors with its initial and
     surname, if no other link that is left has the same; else they get none.
     """
-    links = F.transform(profiles, lambda u: F.struct(u.alias("url"), url_slug(u).alias("slug"), author_key(url_slug(u)).alias("key")))
-    marked = F.transform(names, lambda n, i: F.struct(n.alias("name"), slugify(n).alias("slug"), author_key(n).alias("key"), i.alias("i")))
+    links = F.transform(F.arrays_zip(profiles.alias("url"), link_slugs.alias("plain")), lambda x: F.struct(x["url"].alias("url"), url_slug(x["url"]).alias("slug"), slug_key(x["plain"]).alias("key")))
+    marked = F.transform(F.arrays_zip(names.alias("name"), name_slugs.alias("slug")), lambda x, i: F.struct(x["name"].alias("name"), x["slug"].alias("slug"), slug_key(x["slug"]).alias("key"), i.alias("i")))
 
     def pair(m, k, all_links, left):  # noqa: ANN001, ANN202
         exact = F.filter(all_links, lambda x: x["slug"] == m["slug"])
@@ -172,7 +175,8 @@ def paired(names, profiles):  # noqa: ANN001, ANN201
 def pair_authors(pubs: DataFrame) -> DataFrame:
     """The records of :func:`publications` with ``authors`` in place of ``names`` and ``profiles``."""
     columns = ["id", "title", "url", "authors", "institutions", "abstract", "journal", "year", "doi", "keywords", "crawled_at"]
-    return pubs.withColumn("authors", paired(F.col("names"), F.col("profiles"))).select(*columns)
+    slugs = pubs.withColumns({"_names": slugify_all("names"), "_links": slugify_all(F.transform("profiles", url_slug))})
+    return slugs.withColumn("authors", paired(*[F.col(c) for c in ("names", "profiles", "_names", "_links")])).select(*columns)
 
 
 def persons(parsed: DataFrame, crawled_at: str = "") -> DataFrame:

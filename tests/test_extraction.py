@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skarn.functions.scalars import is_affiliated
+from skarn.functions.scalars import is_affiliated, slugify
 from skarn.operators.frontier import changed_pages, crawl, reachable
 from skarn.sources import html
 
@@ -100,3 +100,17 @@ def test_robots_and_validators(spark):
     s = "url string, html string, etag string"
     old = spark.createDataFrame([("a", "x", "1"), ("b", "x", "")], s)
     assert {r.url for r in changed_pages(old, spark.createDataFrame([("a", "y", "1"), ("b", "y", ""), ("c", "z", None)], s)).collect()} == {"b", "c"}
+
+
+def test_slugs_of_any_alphabet(spark):
+    names = {"Antonín Dvořák": "antonin-dvorak", "Shinzō Abe": "shinzo-abe", "Łukasz Żak": "ukasz-zak", " O’Neil, J. ": "oneil-j", "ﬁne ½": "fine-12", "李": "", None: None}
+    got = {r.n: r.s for r in spark.createDataFrame([(n,) for n in names], "n string").select("n", slugify(F.col("n")).alias("s")).collect()}
+    assert got == names
+
+
+def test_too_many_rounds(spark):
+    chain = spark.range(30).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"))
+    seeds = spark.createDataFrame([("0",)], "url string")
+    assert reachable(chain, seeds).agg(F.max("depth")).first()[0] == 30
+    with pytest.raises(RuntimeError):
+        reachable(chain, seeds, most_rounds=5)

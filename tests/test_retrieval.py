@@ -1,3 +1,4 @@
+import math
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,7 +133,7 @@ def test_browse(pubs):
 
 
 def test_schema_rules():
-    for bad in (lambda: Field("x", weight=0), lambda: Field("x", False, False), lambda: CollectionSchema((Field("a"), Field("a"))), lambda: CollectionSchema((Field("a", indexed=False),))):
+    for bad in (lambda: CollectionSchema((Field("x", weight=0),)), lambda: CollectionSchema((Field("a"), Field("x", False, False))), lambda: CollectionSchema((Field("a"), Field("a"))), lambda: CollectionSchema((Field("a", indexed=False),))):
         with pytest.raises(ValueError):
             bad()
     assert CollectionSchema.from_dict(SCHEMA.to_dict()) == SCHEMA and SCHEMA.weights() == {"title": 3.0, "abstract": 1.0}
@@ -151,3 +152,26 @@ def test_match_counts(spark, small):
     assert (r.any_term, r.all_terms) == (2, 1)
     same = ranking.search_many(small, q, k=1)
     assert ranking.top_agreement(same, same).select(F.min("agree")).first()[0] is True
+
+
+def test_a_kept_index_reads_only_its_terms(spark, small, tmp_path):
+    kept = small.write(f"file://{tmp_path}/index")
+    plan = kept.lookup(["diabetes", "health"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan or "In(term, [diabetes,health])" in plan
+    scan = plan[plan.index("FileScan"):]
+    assert "positions" in scan
+    for scorer in ("bm25", "tf-idf"):
+        assert ranking.search(kept, "diabetes health", scorer).collect() == ranking.search(small, "diabetes health", scorer).collect()
+    assert kept.average_lengths() == small.average_lengths() and kept.vocabulary_size() == small.vocabulary_size() and kept.frequencies(["diabetes", "nope"]) == small.frequencies(["diabetes", "nope"])
+    some = kept.docs.first().doc
+    assert kept.contains(some) and not kept.without(kept.docs.where(F.col("doc") == some)).contains(some)
+    with pytest.raises(FileNotFoundError):
+        type(kept).read(spark, f"file://{tmp_path}/none", kept.schema, kept.analyzer)
+
+
+def test_tables_of_one_term(spark, small):
+    n = small.document_count()
+    assert [round(r.idf, 4) for r in ranking.idf_table(small, [1, n]).collect()] == [round(math.log(1 + (n - d + 0.5) / (d + 0.5)), 4) for d in (1, n)]
+    term = small.postings.agg(F.min("term")).first()[0]
+    sweep = ranking.length_sweep(small, term, [0.0, 0.75])
+    assert {r.b for r in sweep.collect()} == {0.0, 0.75} and sweep.where("b = 0.75").count() == ranking.explain_bm25(small, term).count()

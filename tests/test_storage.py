@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skarn.collection import Collection
 from skarn.functions.analyzer import Analyzer
 from skarn.operators import log
+from skarn.operators.index import build_index
 from skarn.operators.current import current_records
 from skarn.operators.snapshots import SnapshotIndex, changed_values, key_index, snapshot_changes
 from skarn.plans.schema import CollectionSchema, Field
@@ -66,8 +67,13 @@ def test_bad_files(spark, tmp_path):
     c = Collection.open(spark, path, SCHEMA)
     c.add({"id": "a", "title": "t"})
     replace_text(spark, f"{path}/log/batch=000000001/x.json", '{"op":"put","id":"b","do')
+    replace_text(spark, f"{path}/log/batch=000000001/y.json", '{"op":"put","id":"c","doc":"{}","batch":1,"n":0}\n\n{"op":"move","id":"d","batch":1,"n":1}\n')
     with pytest.raises(Exception, match="corrupt log line"):
         c.log().collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.line) for r in c.corrupt_lines().collect()) == [("x.json", 1), ("y.json", 3)]
+    c._meta["batches"] = 2
+    with pytest.raises(ValueError, match="y.json: corrupt entry on line 3"):
+        c.refresh()
     meta = json.loads((tmp_path / "c/meta.json").read_text()) | {"version": 99}
     replace_text(spark, f"{path}/meta.json", json.dumps(meta))
     with pytest.raises(ValueError):
@@ -148,7 +154,7 @@ def test_archive(spark, tmp_path):
     people = spark.createDataFrame([], archive.PERSON)
     assert archive.latest(spark, root) is None
     archive.write_crawl(recs, people, {"finished_at": "z"}, root, "2026-01-01")
-    archive.write_crawl(recs, people, {"publication_count": 7}, root, "2026-02-01")
+    archive.write_crawl(recs, people, {"publications": 7}, root, "2026-02-01")
     replace_text(spark, f"{root}/2026-03-01/publications.jsonl/p.json", "")
     assert [c.crawl_id for c in archive.all_crawls(spark, root)] == ["2026-01-01", "2026-02-01"]
     assert archive.latest(spark, root).publication_count == 7 and archive.load(spark, root, "2026-01-01").records().collect() == recs.collect()
@@ -183,3 +189,40 @@ def test_values_of_every_compared_field(spark, tmp_path):
     spark.createDataFrame(rows, "crawl_id string, id string, title string, abstract string, journal string, year string, doi string, keywords string, authors array<string>, crawled_at string").write.parquet(f"{tmp_path}/crawl_records.parquet")
     got = {(r.id, r.field_name, r.old_value, r.new_value) for r in p3_values(spark, str(tmp_path)).collect()}
     assert got == {(f, f, *(json.dumps(x[f], separators=(",", ":")) if f == "authors" else x[f] for x in (base, other))) for f in base}
+
+
+def test_tables_follow_the_log(spark, tmp_path):
+    """An update analyzes only what it names; ids are kept by updates and never given twice."""
+    c = Collection.open(spark, f"file://{tmp_path}/c", SCHEMA, Analyzer(stem=False), compact_ratio=None)
+    docs = lambda rows: spark.createDataFrame(rows, "id string, title string, abstract string, url string")
+    c.add_many(docs([(f"p{i}", f"common word{i}", "text", "u") for i in range(6)]))
+    ids = {r.id: r.internal_id for r in c.stored().collect()}
+    assert sorted(ids.values()) == list(range(6)) and "p3" in c and c.by_internal_id(ids["p3"])["id"] == "p3"
+    c.add_many(docs([("p1", "renewed title", "text", "v"), ("q", "common late", None, "u")]))
+    c.delete("p5")
+    c.delete("p0")
+    c.add_many(docs([("p0", "common back", "text", "u")]))
+    now = {r.id: r.internal_id for r in c.stored().collect()}
+    assert now == {**{f"p{i}": ids[f"p{i}"] for i in (1, 2, 3, 4)}, "q": 6, "p0": 7} and "p5" not in c and c.by_internal_id(ids["p5"]) is None
+    rebuilt = build_index(c.stored(), c.schema, c.analyzer)
+    for kept, made in ((c.index().postings, rebuilt.postings), (c.index().fields, rebuilt.fields), (c.index().docs, rebuilt.docs), (c.index().terms, rebuilt.term_stats())):
+        assert sorted(map(str, kept.select(*sorted(kept.columns)).collect())) == sorted(map(str, made.select(*sorted(kept.columns)).collect()))
+    assert c.search("common").total == 5 and c.search("renewed").total == 1
+    c.delete("p0")
+    assert c.compact() > 0 and c.search("common").total == 4 and c.entries() == (5, 0)
+    c.add_many(docs([("r", "common again", "text", "u")]))
+    assert Collection.open(spark, f"file://{tmp_path}/c").stored().where("id = 'r'").first().internal_id == 8
+
+
+def test_many_partitions_keep_their_order(spark, tmp_path):
+    c = Collection.open(spark, f"file://{tmp_path}/c", SCHEMA)
+    c._append(spark.range(0, 600, 1, 600).select(F.lit("put").alias("op"), F.col("id").cast("string").alias("id"), F.lit("{}").alias("doc")))
+    order = [int(r.id) for r in c.log().orderBy("seq").select("id").collect()]
+    assert order == list(range(600))
+
+
+def test_manifest_of_an_older_archive(spark, tmp_path):
+    (tmp_path / "2026-01-01-00-00-00-NPT").mkdir()
+    (tmp_path / "2026-01-01-00-00-00-NPT/manifest.json").write_text(json.dumps({"format_version": 1, "crawl_id": "2026-01-01-00-00-00-NPT", "publications": 92, "people": 117, "finished_at": "z", "fetcher": {"crawl_delay": 5.0}}))
+    r = archive.status(spark, f"file://{tmp_path}").first()
+    assert (r.publication_count, r.person_count) == (92, 117)
