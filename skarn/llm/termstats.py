@@ -50,13 +50,13 @@ def term_scores(records: DataFrame, fields: list[str], key: str = "id", k1: floa
     ``k1=None`` is the limit without saturation and length, ``idf * tf``. Terms held by
     fewer than ``least_records`` records get no row. Scores are rounded to six decimals.
 
-    The frequencies of terms held by more than a hundredth of all records are broadcast:
+    Texts are cut into terms once; the counts by record are a written table. The frequencies of terms held by more than a hundredth of all records are broadcast:
     there can't be more of them than a hundred times the mean number of terms in a record.
     The others are shuffled by term, and none of them is hot.
     """
     records = written(records.select(key, *fields), "records")
     n = records.count()
-    rows = record_terms(records, fields, key)
+    rows = written(record_terms(records, fields, key), "record-terms")
     counts = written(rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_tf")), "df")
     kept = counts.where(F.col("df") >= least_records)
     hot = F.broadcast(kept.where(F.col("df") > n / 100).select("term", "df"))
