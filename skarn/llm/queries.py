@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skarn.llm.canon import map_to_canonical
 from skarn.llm.common import current, table
 from skarn.llm.leaks import find_leaks, leak_report
-from skarn.llm.markup import clean_texts
+from skarn.llm.markup import clean_texts, marked
 from skarn.llm.mixing import mix_plan, reached, realise, source_name, token_counts
 from skarn.llm.names import link_authors
 from skarn.llm.neardup import NearDuplicates, near_duplicates
@@ -72,7 +72,7 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    host = lambda c: F.regexp_extract(F.coalesce(F.col(c), F.lit("")), r"^[a-z]+://([^/?#]+)", 1)
+    host = lambda c: F.nullif(F.regexp_extract(F.col(c), r"^[a-z]+://([^/?#]+)", 1), F.lit(""))
     pubs = current(spark, d, "publications", ["abstract", "url"]).select(F.lit("publication").alias("kind"), "id", host("url").alias("host"), F.col("abstract").alias("text"))
     people = current(spark, d, "persons", ["biography", "url"]).select(F.lit("person").alias("kind"), "id", host("url").alias("host"), F.col("biography").alias("text"))
     return pubs.unionByName(people)
@@ -83,7 +83,7 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_clean(spark, d).where("marks > 0").select("record_kind", "record_id")
+    return marked(_pages(spark, d)).where("marks > 0").select("record_kind", "record_id")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,54 +6,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skarn.llm.leaks import find_leaks, leak_report, myers, pieces
-from skarn.llm.markup import Node, clean_texts, leaves, parse, render, tree_match
 from skarn.llm.mixing import PLAN as MIX, bisect_exponent, entropy, mix_plan, plan_mix, reached, realise, tempered, token_counts
 from skarn.llm.residue import Detector, find_residue, without_residue
 
-MARKED = ["<p>One</p>", "a <b>b</b>", "cut off <div class=\"te", "ends <br", "</span> x", "&lt;p&gt;a&lt;/p&gt;", "x<!-- c -->", "A &amp; B", "it &#8217;s", "## Head\n\nText", "see [this](https://a.b/c)", "**bold** text", "__start__ now", "~~gone~~ now",
-          "use `code` here", "```\nn = 1\n```", "one\n* item", "one\n- item\n- two", "== Aims ==\nText", "a [[Main page|by]] b", "a {{citation needed}} b", "\\section{Aims} x", "x \\emph{y} z", "{\\it All} rights", "was $\\alpha = 0.05$ here",
-          "\\[ y = x \\]", "4\\% of", "(Table~\\ref{t1})", "<jats:p>A</jats:p>", "<ref name=\"a\">p. 4</ref>", "\\begin{itemize}\n\\item a\n\\end{itemize}"]
-PLAIN = ["Values <LOD and >ULQ were kept.", "p < 0.05 and n > 30", "Stored under C:\\data on site.", "*p<.05 throughout. Later *p<.05 again.", "The set {a, b} was tested", "from $40 to $55 per visit", "reports [12] and [13, 14]", "visit_2_final", "R&D spending",
-         "Ranked #3 of 12", "A/B and C++ were", "(~40%)", "items * weights * 2", "Methods: we asked", "<18, 18-64 and >64", "a - b - c", "it's and 'quoted' words", "", "  "]
-
-
-@pytest.mark.parametrize("text", MARKED)
-def test_markup_is_seen(text):
-    assert parse(text)[1] > 0 and parse("Some words before it. " + text if not text.startswith(("##", "==", "```", "</")) else text)[1] > 0
-
-
-@pytest.mark.parametrize("text", PLAIN)
-def test_plain_signs_are_no_markup(text):
-    assert parse(text)[1] == 0
-
-
-def test_structure_is_kept():
-    text = "<h2>Aims &amp; scope</h2><p>We <b>asked</b>.</p><ul><li>one</li><li>two</li></ul>"
-    counts = {}
-    assert render(parse(text)[0].children, counts) == "# Aims & scope\nWe asked.\n- one\n- two" and counts == {"headings": 1, "items": 2}
-    assert render(parse("## A\n\n```\nn = 1\n```\n\nso $x_{i} \\leq 3$ holds\n1. one\n2. two")[0].children) == "# A\n```\nn = 1\n```\nso $x_{i} \\leq 3$ holds\n- one\n- two"
-    assert render(parse("\\section{Aims} Text\n\\begin{itemize}\n\\item a \\emph{b}\n\\item c\n\\end{itemize} \\[ y = \\beta \\] end")[0].children) == "# Aims\nText\n- a b\n- c\n$$y = \\beta$$\nend"
-    assert parse(None)[1] == 0 and render(parse(None)[0].children) == ""
-
-
-def test_tree_matching():
-    t = lambda *c: Node("p", "", list(c))
-    leaf = lambda s: Node("#text", s)
-    a, b = [t(leaf("x")), Node("h", "", [leaf("y")]), t(leaf("z"))], [t(leaf("x")), t(leaf("z"))]
-    size, pairs = tree_match(a, b)
-    assert pairs == [(0, 0), (2, 1)] and size == 6
-    assert tree_match([], b) == (0, [])
-
-
-def test_wrapper(spark):
-    rows = [("publication", f"p{i}", "h", f"<nav>Menu of the site</nav><p>Own text {i}.</p><footer>All rights reserved</footer>") for i in range(40)]
-    rows += [("person", "q", "other", "<p>Alone</p>"), ("person", "n", "h", None), ("person", "e", None, ""), ("person", "m", "h", "plain words")]
-    pages = spark.createDataFrame(rows, "kind string, id string, host string, text string").withColumns({"nodes": F.lit(1), "refs": F.lit(2)})
-    got = {r.record_id: r for r in clean_texts(pages).collect()}
-    assert got["p7"].text == "Own text 7." and got["p7"].marks == 6 and got["q"].text == "Alone" and got["n"].text is None and got["e"].text == "" and got["m"].text == "plain words" and got["m"].marks == 0 and len(got) == 44
-    assert clean_texts(pages.limit(0)).count() == 0
-
-
 def _semi(p, t):
     row = [0] * (len(t) + 1)
     for i, x in enumerate(p, 1):
@@ -189,22 +144,6 @@ def test_residue_table(spark):
     assert kept.columns == docs.columns and kept.count() == len(CLEAN) and find_residue(docs.limit(0)).count() == 0
 
 
-def test_leaves_split_sentences():
-    assert [n.text for n in leaves(parse("One. Two.\n<p>x</p>")[0]) if n.tag == "#text"] == ["One.", "Two."]
-
-
-def test_wrapper_at_every_depth_and_layout(spark):
-    framed = lambda i: f"<html><body><div><ul><li>Home</li><li>Contact us</li></ul><div><h2>Study {i}</h2><p>All data are ours. Own text {i}.</p></div></div><div>All rights reserved</div></body></html>"
-    data = lambda i: f"<h2>Abstract</h2><p>Text {i}.</p><table><tr><th>Group</th><th>n</th></tr><tr><td>A</td><td>{i}</td></tr></table>"
-    second = lambda i: f"<table><tr><td>Site menu</td></tr></table><section><p>Case {i}.</p></section><footer>Second foot</footer>"
-    rows = [("publication", f"a{i}", "h", framed(i)) for i in range(400)] + [("publication", f"b{i}", "h", second(i)) for i in range(30)]
-    rows += [("publication", f"c{i}", "h", f"Contact us. Own words {i}.") for i in range(5)] + [("person", f"d{i}", "h", data(i)) for i in range(30)]
-    got = {r.record_id: r.text for r in clean_texts(spark.createDataFrame(rows, "kind string, id string, host string, text string")).collect()}
-    assert all(got[f"d{i}"] == f"# Abstract\nText {i}.\nGroup | n\nA | {i}" for i in range(30))
-    assert len(got) == 465 and all(got[f"a{i}"] == f"# Study {i}\nOwn text {i}." for i in range(400))
-    assert all(got[f"b{i}"] == f"Case {i}." for i in range(30)) and got["c1"] == "Contact us. Own words 1."
-
-
 def test_shares_are_measured_and_only_what_does_not_fit_is_skipped(spark):
     counts = spark.createDataFrame([(i, "a", 10) for i in range(50)] + [(99, "a", 400)], "doc_id long, source string, tokens long")
     for want in (100, 250, 390):
