@@ -118,8 +118,19 @@ def readings(name: str | None) -> list[tuple[str, str, str]]:
     return list(dict.fromkeys(out))
 
 
+def clipped(short: str, full: str) -> float | None:
+    """The cost of one name as a written-short form of the other: half an edit for its first three to five letters (Geo, Benj), more than an edit
+    for up to four letters of it in order, the first and the last among them (Wm, Chas, Robt); None if it is neither."""
+    if not 2 <= len(short) < len(full):
+        return None
+    if 3 <= len(short) <= 5 and full.startswith(short):
+        return 0.5
+    letters = iter(full)
+    return 1.25 if len(short) <= min(4, len(full) - 2) and short[0] == full[0] and short[-1] == full[-1] and all(c in letters for c in short) else None
+
+
 def given_cost(typed: str, known: str, most: int) -> float:
-    """Edits between two given names, 0 for initials and short forms that fit, half an edit for the initial of a short form; ``most + 1`` if they don't fit."""
+    """Edits between two given names, 0 for initials and short forms that fit, half an edit for the initial of a short form, :func:`clipped` for forms written short; ``most + 1`` if they don't fit."""
     if typed == known:
         return 0
     if len(typed) == 1 or len(known) == 1:
@@ -130,7 +141,20 @@ def given_cost(typed: str, known: str, most: int) -> float:
     a, b = NICKNAMES.get(typed, []), NICKNAMES.get(known, [])
     if known in a or typed in b or set(a) & set(b):
         return 0
-    return min(osa(x, y, most) for x in [typed, *a] for y in [known, *b])
+    edits = min(osa(x, y, most) for x in [typed, *a] for y in [known, *b])
+    short = clipped(typed, known) or clipped(known, typed)
+    return edits if short is None or edits <= short else short
+
+
+def name_cost(g: str, s: str, kg: str, ks: str, most: int) -> float | None:
+    """Edits between two names, at most ``most`` in each part; more than one part is misspelt only in names long enough to bear it (given name 4 letters, surname 5). None if they don't fit."""
+    d = osa(s, ks, most)
+    if d > most:
+        return None
+    e = given_cost(g, kg, most)
+    if e > max(most, 1.25) or d and e >= 0.5 and not (e == 1 and len(g) >= 4 and len(kg) >= 4 and len(ks) >= 5):
+        return None
+    return d + e
 
 
 def _forms(df: DataFrame) -> DataFrame:
@@ -177,8 +201,8 @@ def metric_join(left: DataFrame, right: DataFrame, radius: int = 2, pivots: int
 def link_names(names: DataFrame, persons: DataFrame, most_edits: int = 1, radius: int = 2, pivots: int = 64) -> DataFrame:
     """``(name, n, person_id)``: the distinct typed ``names(name)`` that mean exactly one of ``persons(id, name)``.
 
-    A name means a person if its surname and given name are the person's up to ``most_edits`` edits in all (a swap
-    of neighbours is one, so the metric radius is 2), the given name being typed in full, as an initial or as a short form,
+    A name means a person if its surname and its given name are the person's up to ``most_edits`` edits in each (a swap
+    of neighbours is one, so the metric radius is 2; see :func:`name_cost`), the given name being typed in full, as an initial or as a short form,
     and no middle initials contradict. Fewer edits, then an agreeing middle initial, fit better; if the best fit is shared by two persons, the name
     means none. Persons whose names read alike are never told apart. Null or unreadable names mean nobody.
     """
@@ -207,10 +231,8 @@ def link_names(names: DataFrame, persons: DataFrame, most_edits: int = 1, radius
             for g, m, s, kg, km, b, ids, person in zip(*(batch[c].to_pylist() for c in ("g", "m", "s", "kg", "km", "b", "ids", "id"))):
                 if m and km and m[0] != km[0]:
                     continue
-                d = osa(s, b, most_edits)
-                if d <= most_edits:
-                    d += given_cost(g, kg, most_edits)
-                if d <= most_edits:
+                d = name_cost(g, s, kg, b, most_edits)
+                if d is not None:
                     rows.append((g, m, s, int(6 * d) + (not (m and km)) + (m.endswith("+") and not km), ids, person))
             kinds = [pa.string()] * 3 + [pa.int32(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_pydict({c: pa.array([x[i] for x in rows], k) for i, (c, k) in enumerate(zip(("g", "m", "s", "cost", "ids", "id"), kinds))})
