@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.llm.common import fold, osa, squash
@@ -157,21 +158,40 @@ def name_cost(g: str, s: str, kg: str, ks: str, most: int) -> float | None:
     return d + e
 
 
-def _forms(df: DataFrame) -> DataFrame:
-    """``df(name)`` with its readings: ``name, g, m, s``."""
+@lru_cache(maxsize=100_000)
+def given_keys(given: str, typed: bool) -> tuple[str, ...]:
+    """Keys of which two given names that may fit by :func:`given_cost` share one: the typed one's and the known one's.
+
+    One edit leaves the first two letters, the last two or the first and the last as they were, but in names of up to four letters perhaps only one of them;
+    short forms and what they stand for are filed alike. Initials meet full names only, so that frequent initials pair no full names.
+    """
+    if len(given) == 1:
+        return (f"{'i' if typed else 'j'}{given}", f"={given}")
+    out = {f"j{given[0]}"} if typed else {f"i{given[0]}", *(f"i{c}" for c in _SHORT_INITIALS.get(given, ""))}
+    if typed:
+        out |= {f"j{c}" for c in _SHORT_INITIALS.get(given, "")}
+    for x in (given, *NICKNAMES.get(given, ())):
+        out |= {f"^{x[:2]}", f"{x[-2:]}$", f"-{x[0]}{x[-1]}"}
+        if len(x) <= 4:
+            out |= {f"^{x[0]}", f"{x[-1]}$", "".join(sorted(x))}
+    return tuple(sorted(out))
+
+
+def _forms(df: DataFrame, typed: bool) -> DataFrame:
+    """``df(name)`` with its readings ``g, m, s`` and the keys ``e`` of the given name."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(n, *r) for n in batch["name"].to_pylist() for r in readings(n)]
-            yield pa.RecordBatch.from_pydict({c: pa.array([x[i] for x in rows], pa.string()) for i, c in enumerate(("name", "g", "m", "s"))})
+            rows = [(n, *r, given_keys(r[0], typed)) for n in batch["name"].to_pylist() for r in readings(n)]
+            yield pa.RecordBatch.from_pydict({c: pa.array([x[i] for x in rows], pa.list_(pa.string()) if c == "e" else pa.string()) for i, c in enumerate(("name", "g", "m", "s", "e"))})
 
-    return df.mapInArrow(make, "name string, g string, m string, s string")
+    return df.mapInArrow(make, "name string, g string, m string, s string, e array<string>")
 
 
 def metric_join(left: DataFrame, right: DataFrame, radius: int = 2, pivots: int = 64, most_pivots: int = 1024) -> DataFrame:
     """``(a, b)``: all pairs of distinct strings of ``left(s)`` and ``right(s)`` within Levenshtein distance ``radius``. Exact.
 
-    About ``pivots`` pivots, or the square root of the number of right strings up to ``most_pivots``, are right strings with the smallest hashes. Each right string x
+    ``pivots`` pivots, or half the square root of the number of right strings up to ``most_pivots``, are right strings with the smallest hashes. Each right string x
     lies in the cell of its nearest pivot p, ring d(x, p). A left string q may meet x only if d(q, p) <= d(q, nearest pivot of q) + 2 radius and
     |d(q, p) - d(x, p)| <= radius, so it is sent to those cells and rings alone. Distances to the pivots are column expressions, without a cross join.
     """
@@ -180,7 +200,7 @@ def metric_join(left: DataFrame, right: DataFrame, radius: int = 2, pivots: int
     n = right.count()
     if not n:
         return spark.createDataFrame([], "a string, b string")
-    wanted = min(max(pivots, int(n ** 0.5)), most_pivots)
+    wanted = min(max(pivots, int(n ** 0.5 / 2)), most_pivots)
     chosen = [r.s for r in right.orderBy(F.xxhash64("s"), "s").limit(wanted).collect()]
 
     def placed(df: DataFrame) -> DataFrame:
@@ -208,22 +228,15 @@ def link_names(names: DataFrame, persons: DataFrame, most_edits: int = 1, radius
     """
     typed = written(spread(names.where("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))), "typed-names")
     known = persons.where("id is not null and name is not null").select("id", "name").distinct()
-    forms = written(_forms(typed.select("name")), "typed-forms")
-    people = _forms(spread(known.select("name").distinct())).join(known, "name").groupBy("g", "m", "s").agg(F.count_distinct("id").alias("ids"), F.min("id").alias("id"))
+    forms = written(_forms(typed.select("name"), True), "typed-forms")
+    people = _forms(spread(known.select("name").distinct()), False).join(known, "name").groupBy("g", "m", "s").agg(F.count_distinct("id").alias("ids"), F.min("id").alias("id"), F.first("e").alias("e"))
     people = written(people, "known-forms")
     near = written(metric_join(forms.select("s"), people.select("s"), radius, pivots), "near-surnames")
-    distinct = forms.select("g", "m", "s").distinct()
-
-    def ends(g: Column) -> Column:
-        """What two given names within one edit, an initial, or short forms share one of: first letter or last letters, also of what a short form stands for."""
-        table = F.create_map(*[F.lit(x) for k, v in NICKNAMES.items() for x in (k, " ".join(v))])
-        initials = F.create_map(*[F.lit(x) for kv in _SHORT_INITIALS.items() for x in kv])
-        every = F.concat(F.array(g), F.coalesce(F.split(table[g], " "), F.array().cast("array<string>")), F.coalesce(F.split(initials[g], ""), F.array().cast("array<string>")))
-        return F.array_distinct(F.flatten(F.transform(every, lambda x: F.array(F.concat(F.lit("^"), F.left(x, F.lit(1))), F.concat(F.right(x, F.lit(1)), F.lit("$"))))))
-
-    a = distinct.join(near, F.col("s") == F.col("a")).select("g", "m", "s", F.col("b"), F.explode(ends(F.col("g"))).alias("e"))
-    b = people.select(F.col("g").alias("kg"), F.col("m").alias("km"), F.col("s").alias("b"), "ids", "id", F.explode(ends(F.col("g"))).alias("e"))
-    pairs = spread(a.join(b, ["b", "e"]).select("g", "m", "s", "kg", "km", "b", "ids", "id").distinct())
+    distinct = forms.groupBy("g", "m", "s").agg(F.first("e").alias("e"))
+    a = distinct.join(near, F.col("s") == F.col("a")).select("g", "m", "s", "b", F.col("e").alias("keys"), F.explode("e").alias("key"))
+    b = people.select(F.col("g").alias("kg"), F.col("m").alias("km"), F.col("s").alias("b"), "ids", "id", F.col("e").alias("known_keys"), F.explode("e").alias("key"))
+    once = F.array_min(F.array_intersect("keys", "known_keys")) == F.col("key")
+    pairs = spread(a.join(b, ["b", "key"]).where(once).select("g", "m", "s", "kg", "km", "b", "ids", "id"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,7 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skarn.llm.common import osa
-from skarn.llm.names import link_authors, link_names, metric_join, readings
+from skarn.llm.names import NICKNAMES, given_cost, given_keys, link_authors, link_names, metric_join, readings
 
 PERSONS = [("p1", "Frederick T. Konboberg"), ("p2", "Elizabeth Mitumvik"), ("p3", "José Skuvagren"), ("p4", "GEMMA E. CADRUMSKU"), ("p5", "Thomas Fonfohollt-Davumock"), ("p6", "James Babano"), ("p7", "Jennifer Babano"), ("p8", "Tridrostova, Sunita"),
            ("p9", "Mei Livaberg"), ("p10", "Mei Livaberg"), ("p11", "Robert Croncolund"), ("p12", None), (None, "Olga Kusodell"), ("p13", " "), ("p14", "Bjørn Mevarhollt"), ("p14", "Bjorn Mevarhollt")]
@@ -72,6 +72,20 @@ def test_edits(a, b):
     assert osa(a, b, 1) == min(d, 2)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text("abc", min_size=1, max_size=7), st.data())
+def test_names_that_fit_share_a_key(a, data):
+    b = list(a)
+    for _ in range(data.draw(st.integers(0, 1))):
+        k = data.draw(st.integers(0, len(b) - 1))
+        b[k:k + 2] = data.draw(st.sampled_from([b[k + 1:k + 2], b[k:k + 2] + ["c"], ["b", *b[k + 1:k + 2]], b[k:k + 2][::-1]]))
+    b = "".join(b)
+    if b and given_cost(a, b, 1) <= 1.25:
+        assert set(given_keys(a, True)) & set(given_keys(b, False)), (a, b)
+    for short, full in NICKNAMES.items():
+        assert all(set(given_keys(x, True)) & set(given_keys(y, False)) for f in full for x, y in ((short, f), (f, short), (short[0], f), (f, short[0])))
+
+
 def test_readings():
     assert readings("Prof. Siân Walmumwick, MSc") == [("sian", "", "walmumwick"), ("walmumwick", "", "sian")]
     assert readings("Skudenlund, E.") == [("e", "", "skudenlund")] and readings("BN Watenhollt")[0] == ("b", "n", "watenhollt") and readings(None) == []
