@@ -36,20 +36,29 @@ def test_publications(spark, refs):
 
 
 def test_join_finds_what_a_full_comparison_finds(spark, refs):
-    from skarn.llm.canon import THRESHOLDS, check, token_sets
+    from skarn.llm.canon import THRESHOLDS, WORTH, check, ref_views, value_views
 
     names = [r[2] for r in REFS[:6]]
-    typed = [n[:i] + n[i + 1:] for n in names for i in range(0, len(n), 3)]
+    typed = [n[:i] + n[i + 1:] for n in names for i in range(0, len(n), 3)] + ["Univ. of Holbaford", "HBS", "hbs", "Holb. Bus. Sch."]
     got = {r.value: r.ref_id for r in match_values(spark.createDataFrame([("institution", t) for t in typed], "kind string, value string"), refs).collect()}
     for t in typed:
         best = {}
-        for r in readings(t):
+        for reading, view, tokens in value_views(t):
             for i, _, n, short, _ in REFS[:6]:
-                a, b = set(token_sets(r).get("grams", [])), set(token_sets(n)["grams"])
-                if a and len(a & b) / len(a | b) >= THRESHOLDS["grams"] and (c := check(r, "grams", n, short)) is not None:
-                    best[i] = min(c, best.get(i, 9))
+                for other, right in ref_views(n, short):
+                    a, b = set(tokens), set(right)
+                    sim = len(a & b) / len(a | b)
+                    if view == other and sim >= THRESHOLDS[view] and (c := check(reading, view, n, short)) is not None:
+                        best[i] = min(round(c / 10 - sim * WORTH[view], 9), best.get(i, 9))
         low = [i for i in best if best[i] == min(best.values())]
-        assert got[t] == (low[0] if len(low) == 1 else -1)
+        assert got[t] == (low[0] if len(low) == 1 else -1), t
+
+
+def test_a_long_list(spark, refs):
+    """The list is a table like the values: nothing of it but its trigrams goes through the driver."""
+    many = spark.range(20_000).select((F.col("id") + 1000).alias("ref_id"), F.lit("institution").alias("kind"), F.concat(F.lit("College "), F.md5(F.col("id").cast("string"))).alias("name"), F.lit(None).cast("string").alias("short_name"), F.lit(None).cast("string").alias("place"))
+    values = spark.createDataFrame([("institution", "univrsity of Holbaford"), ("institution", "College of Nowhere")], "kind string, value string")
+    assert {r.value: r.ref_id for r in match_values(values, refs.unionByName(many)).collect()} == {"univrsity of Holbaford": 2, "College of Nowhere": -1}
 
 
 def test_parts():
