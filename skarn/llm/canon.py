@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -40,6 +41,7 @@ _INITIALS = re.compile(r"^(?:[A-Za-z][.\s]*){2,}$")
 _WORD = re.compile(r"[a-z0-9&]+(?:'[a-z]+)?")
 
 
+@lru_cache(maxsize=50_000)
 def name_words(text: str) -> list[str]:
     """Lower-case words without accents, minor words left out."""
     return [w for w in _WORD.findall(fold(text).lower()) if w not in MINOR]
