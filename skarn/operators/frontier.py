@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions.scalars import fetch_outcome, is_affiliated, is_publication_url
-from skarn.session import written
+from skarn.session import bucketed, written
 from skarn.sources.html import pair_authors, persons, publications, section_links, with_parts
 
 URLS = "url string"
@@ -21,21 +21,22 @@ URLS = "url string"
 def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """``(url, depth)`` of everything reachable from ``seeds(url)`` over ``edges(src, dst)``, with its least depth.
 
-    Each round writes its new URLs; the rounds so far are merged into one table every ten rounds. Raises if URLs are left after ``most_rounds``.
+    The edges are bucketed by their source once, so that a round shuffles its frontier only. Each round writes its new URLs by depth;
+    every ten rounds those before are merged into one table. Raises if URLs are left after ``most_rounds``.
     """
     frontier = written(seeds.select("url").where("url is not null").distinct().withColumn("depth", F.lit(0)), "frontier")
     visited = frontier
-    for depth in range(1, most_rounds + 1):
-        if frontier.isEmpty():
-            break
-        fresh = edges.join(frontier.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).where("url is not null").distinct().join(visited.select("url"), "url", "left_anti")
-        frontier = written(fresh.withColumn("depth", F.lit(depth)), "frontier")
-        visited = visited.unionByName(frontier)
-        if depth % 10 == 0:
-            visited = written(visited, "visited")
-    else:
-        if not frontier.isEmpty():
-            raise RuntimeError(f"more than {most_rounds} rounds")
+    with bucketed(edges.select("src", "dst").where("src is not null and dst is not null"), "src", "edges") as out:
+        for depth in range(1, most_rounds + 1):
+            if frontier.isEmpty():
+                return visited
+            fresh = out.join(frontier.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct().join(visited.select("url"), "url", "left_anti")
+            frontier = written(fresh.withColumn("depth", F.lit(depth)), "frontier")
+            visited = visited.unionByName(frontier)
+            if depth % 10 == 0:
+                visited = written(visited, "visited")
+    if not frontier.isEmpty():
+        raise RuntimeError(f"more than {most_rounds} rounds")
     return visited
 
 

@@ -11,6 +11,8 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +81,19 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, key: str, name: str = "bucketed") -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder that is bucketed and sorted by ``key``: joins on it don't shuffle it again. Its catalogue entry ends with the block."""
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = f"skarn_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", scratch_path(spark, name)).saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over as many partitions as the session has cores or shuffle partitions: for Python stages over rows that are few but dear."""
     spark = df.sparkSession

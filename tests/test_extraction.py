@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions.scalars import is_affiliated, slugify
 from skarn.operators.frontier import changed_pages, crawl, reachable
+from skarn.session import bucketed
 from skarn.sources import html
 
 BASE = "https://portal.example"
@@ -114,3 +115,12 @@ def test_too_many_rounds(spark):
     assert reachable(chain, seeds).agg(F.max("depth")).first()[0] == 30
     with pytest.raises(RuntimeError):
         reachable(chain, seeds, most_rounds=5)
+
+
+def test_edges_are_not_shuffled_again(spark):
+    edges = spark.range(2000).select(F.col("id").cast("string").alias("src"), (F.col("id") * 7 % 2000).cast("string").alias("dst"))
+    with bucketed(edges, "src", "edges") as out:
+        plan = out.join(out.select(F.col("dst").alias("src")).limit(1500).hint("merge"), "src")._jdf.queryExecution().executedPlan().toString()
+    scan = plan[:plan.index("FileScan")]
+    assert "Bucketed: true" in plan and "Exchange hashpartitioning(src" not in scan
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("skarn_edges")]
