@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 from collections.abc import Callable
@@ -13,7 +14,7 @@ from skarn.collection import Collection
 from skarn.operators import browse
 from skarn.operators.cluster import ClusterModel
 from skarn.operators.ranking import SCORERS
-from skarn.sources.files import exists
+from skarn.sources.files import exists, read_text, replace_text
 
 LISTED = ["id", "title", "authors", "abstract", "journal", "year", "url", "doi"]
 
@@ -78,10 +79,23 @@ def classify(collection_or_spark, model: ClusterModel, text: str) -> dict:  # no
     return model.predict(spark.createDataFrame([(0, text)], "doc_id long, text string")).drop("doc_id").first().asDict(recursive=True)
 
 
+def health(collection: Collection) -> dict:
+    """Whether the collection can be read, and how many documents it has."""
+    return {"status": "ok", "documents": len(collection)}
+
+
+def score_ceiling(collection: Collection) -> float:
+    """The sum of the field weights: what the display scales scores by. Not a true upper bound, as idf and the query's weight are left out."""
+    return float(sum(collection.schema.weights().values()))
+
+
 class ClusterService:
-    """A cluster model that is loaded, or built and saved, when it is first asked for; safe for several threads."""
+    """A cluster model that is loaded, or built and saved, when it is first asked for; safe for several threads.
+
+    ``build`` gives the model, or the model and its report, which is then kept beside it for :meth:`overview`.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, build: Callable[[], ClusterModel]) -> None:
+    def __init__(self, spark: SparkSession, path: str, build: Callable[[], ClusterModel | tuple[ClusterModel, dict]]) -> None:
         self.spark, self.path, self.build = spark, path, build
         self._lock = threading.Lock()
         self._model: ClusterModel | None = None
@@ -93,9 +107,20 @@ class ClusterService:
                     if exists(self.spark, self.path):
                         self._model = ClusterModel.load(self.spark, self.path)
                     else:
-                        self._model = self.build()
-                        self._model.save(self.spark, self.path)
+                        built = self.build()
+                        model, report = built if isinstance(built, tuple) else (built, None)
+                        if report is not None:
+                            replace_text(self.spark, self.path + ".report", json.dumps(report))
+                        model.save(self.spark, self.path)
+                        self._model = model
         return self._model
 
+    def overview(self) -> dict:
+        """What the fit is worth, as reported when it was built: sizes, names, terms, metrics, confusion, elbow. LookupError if no report was kept."""
+        self.model()
+        if not exists(self.spark, self.path + ".report"):
+            raise LookupError("the model was built without a report")
+        return json.loads(read_text(self.spark, self.path + ".report"))
+
     def classify(self, text: str) -> dict:
         return classify(self.spark, self.model(), text)

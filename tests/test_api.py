@@ -28,7 +28,7 @@ def publications(spark, tmp_path_factory):
 def test_surface(publications):
     r = api.search(publications, "diabetes")
     assert {h["id"] for h in r["hits"]} == {"pub/1", "pub/3"} and r["total"] == 2
-    assert api.search(publications, "")["total"] == 0
+    assert api.search(publications, "")["total"] == 0 and api.health(publications) == {"status": "ok", "documents": 3} and api.score_ceiling(publications) == 7.0
     with pytest.raises(ValueError):
         api.search(publications, "x", limit=0)
     assert [p["id"] for p in api.publications(publications, 2)["publications"]] == ["pub/3", "pub/1"]
@@ -73,6 +73,10 @@ def test_service(spark, tmp_path):
     assert api.ClusterService(spark, path, build).classify("art bank art")["category"] == "Arts" and built == [1]
     with pytest.raises(ValueError):
         api.ClusterService(spark, path, build).classify("")
+    with pytest.raises(LookupError):
+        api.ClusterService(spark, path, build).overview()
+    other = f"file://{tmp_path}/n.json"
+    assert api.ClusterService(spark, other, lambda: (build(), {"vocabulary_size": 2})).overview() == {"vocabulary_size": 2} == api.ClusterService(spark, other, build).overview()
 
 
 def test_provenance_and_plots(spark, tmp_path):
