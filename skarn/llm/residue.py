@@ -118,9 +118,9 @@ class Detector:
                 add(text, kind, side)
         add(AID, "", 0)
         add("|".join([*STATUS.split(), *(s.phrase.lower() for s in HTTPStatus if s >= 400 and s.phrase.isalpha())]), "status", 0)
-        self.automaton = ahocorasick.Automaton()
+        self.automaton, self.aid = ahocorasick.Automaton(), frozenset({("", 0)})
         for p, roles in known.items():
-            self.automaton.add_word(p, ("phrase", p, frozenset(roles)))
+            self.automaton.add_word(p, ("phrase", p, self.aid if roles == self.aid else frozenset(roles)))
         for sign in PLACEHOLDERS:
             self.automaton.add_word(sign, ("sign", sign, frozenset()))
         self.automaton.make_automaton()
@@ -151,6 +151,8 @@ class Detector:
         return None
 
     def _message(self, low: str, a: int, b: int, spans: list[tuple[int, int, frozenset]]) -> str | None:
+        if not any(rs is not self.aid for _, _, rs in spans):
+            return None
         roles = {r for _, _, rs in spans for r in rs}
         kinds = [kind for kind in ("script", "stand-in", "error") if (kind, 0) in roles or (kind, 1) in roles and (kind, 2) in roles and any((kind, 1) in x and (kind, 2) in y for _, _, x in spans for _, _, y in spans if x is not y)]
         if ("status", 0) in roles and "error" not in kinds and _STATUS_NUMBER.search(low, a, b):
@@ -173,7 +175,8 @@ class Detector:
             words = None
         else:
             words = _WORD.findall(block)
-            for i in range(0, max(1, len(words) - 7)):
+            at = [i for i, w in enumerate(words) if w in _FOREIGN]
+            for i in sorted({max(0, min(k, len(words) - 8)) for k in at}) if len(at) >= self.filler_words else ():
                 part = words[i:i + 8]
                 if sum(w in _FOREIGN for w in part) >= self.filler_words and sum(w in _FILLER for w in part) >= 0.6 * len(part):
                     return "filler"
