@@ -123,7 +123,7 @@ class Collection:
 
     def log(self, since: int = 0) -> DataFrame:
         """The log as ``(op, id, doc, seq)`` from batch ``since`` on; a line that can't be read raises and names its file. See :meth:`corrupt_lines`."""
-        folders = [f"{self.path}/{self._meta['log']}/{n}" for n in list_names(self.spark, f"{self.path}/{self._meta['log']}") if int(n.partition("=")[2]) >= since]
+        folders = [f"{self.path}/{self._meta['log']}/{n}" for n in list_names(self.spark, f"{self.path}/{self._meta['log']}") if n.startswith("batch=") and int(n.partition("=")[2]) >= since]
         if not folders:
             return self.spark.createDataFrame([], LOG)
         raw = self.spark.read.text(folders).select("value", F.col("_metadata.file_path").alias("_file"))
