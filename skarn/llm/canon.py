@@ -65,6 +65,7 @@ def readings(value: str) -> list[str]:
     return list(dict.fromkeys(x for x in out if x))
 
 
+@lru_cache(maxsize=50_000)
 def token_sets(text: str) -> dict[str, list[str]]:
     """The token sets of one reading or entry name, by view."""
     words = name_words(text)
@@ -116,6 +117,7 @@ def align(words: list[str], target: list[str], most: int) -> int:
     return min(total, most + 1)
 
 
+@lru_cache(maxsize=200_000)
 def check(reading: str, view: str, name: str, short: str | None, most: int = 2) -> float | None:
     """The cost of reading ``reading`` as the entry ``name``: edits, more for abbreviations; None when it can't be meant."""
     if view == "initials":
