@@ -4,7 +4,10 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from skarn.llm.neardup import SKETCH, Fingerprints, components, golay_index, near_codewords, near_duplicates
+import pyarrow as pa
+
+from skarn.llm import neardup
+from skarn.llm.neardup import SKETCH, Fingerprints, components, golay_index, meeting, near_codewords, near_duplicates
 
 
 def test_golay_code_is_perfect():
@@ -136,3 +139,73 @@ def test_recall_of_block_edits():
         apart = ((one[:, :SKETCH] > 0) != (two[:, :SKETCH] > 0)).sum(axis=1)
         found = sum(bool(set(x.tolist()) & set(y.tolist()) - {-1}) and d <= 48 for x, y, d in zip(fp.keys(one), fp.keys(two), apart))
         assert found >= 0.9 * len(pairs)
+
+
+def _each(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _shuffled(spark):
+    return sum(x.totalShuffleWrite() for x in _each(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+
+
+def test_pairs_that_only_meet_take_no_disk(spark):
+    """Texts of the same words in other order have the same keys and sketches, and nothing in common."""
+    rng = random.Random(6)
+    words = [f"x{i}" for i in range(60)]
+    rows = [(f"{i:03}", "T", " ".join(rng.sample(words, 60))) for i in range(300)]
+    rows.append(("near", "T", rows[0][2] + " more"))
+    before = _shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found = near_duplicates(_frame(spark, rows), ["title", "abstract"])
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert _shuffled(spark) - before < 1_000_000
+    assert [tuple(r) for r in found.pairs().collect()] == [("000", "near")]
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = sum(f.length() for f in _each(files.getAllFiles()) if f.getName().startswith("shuffle_"))
+    assert left < 1_000_000
+
+
+def test_rounds_find_the_same(spark, monkeypatch):
+    rows = _corpus(90)
+    once = {tuple(r) for r in near_duplicates(_frame(spark, rows), ["title", "abstract"]).pairs().collect()}
+    monkeypatch.setattr(neardup, "ROUND", 5000)
+    monkeypatch.setattr(neardup, "FEW", 0)
+    again = [tuple(r) for r in near_duplicates(_frame(spark, rows), ["title", "abstract"]).pairs().collect()]
+    assert len(again) == len(set(again)) and set(again) == once and len(neardup._rounds(len(rows) * 13, 12)) > 3
+
+
+def test_similar_sets_differ_in_few_odd_hashes():
+    rng = np.random.default_rng(3)
+    fp = Fingerprints()
+    for _ in range(200):
+        pool = rng.integers(-2**62, 2**62, rng.integers(2, 400))
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, len(pool)))) for _ in range(2))
+        odd = fp.odd([a, b])
+        assert np.bitwise_count(odd[0] ^ odd[1]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_meeting_is_sharing_a_key(monkeypatch):
+    rng = random.Random(8)
+    for joined, kept in ((2, 12), (3, 10)):
+        fp = Fingerprints(tables=4, joined=joined, kept=kept)
+        base = [f"w{i}" for i in range(60)]
+        words = [fp.words(" ".join(rng.sample(base, 45))) for _ in range(120)]
+        keys = np.sort(fp.keys(fp.sums(words)).reshape(len(words), 4, -1), axis=-1)
+        true = {(i, j) for i, j in combinations(range(len(words)), 2) if {*keys[i].ravel().tolist()} & {*keys[j].ravel().tolist()} - {-1}}
+        rows = [(key["key"], i, 45, bytes(48), key["rest"]) for t in range(4) for i, x in enumerate(neardup._filings(keys[:, t], joined).to_pylist()) for key in x]
+        rows.sort(key=lambda r: r[0])
+        assert len(rows) < (keys >= 0).sum()
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at:at + 50]], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["key", "doc", "n", "bits", "rest"]) for at in range(0, len(rows), 50)]
+        monkeypatch.setattr(neardup, "TOGETHER", 100)
+        got = set()
+        for doc, n, bits, key, at in neardup._whole_keys(iter(batches), joined):
+            for i, j in meeting(key, at, n, bits, 0.0, 128):
+                got |= {(min(x), max(x)) for x in zip(doc[i].tolist(), doc[j].tolist())}
+        assert got == true and len(true) > 20
+
+
+def test_sequences_of_many_texts():
+    fp = Fingerprints()
+    words = [fp.words(x) for x in ("a b c a b c a b", "one two", "", "y " * 30, "p q r s")]
+    assert [s.tolist() for s in fp.sequence_sets(words)] == [fp.sequences(w).tolist() for w in words]
