@@ -232,26 +232,33 @@ def _texts(records: DataFrame, fields: list[str], key: str) -> DataFrame:
     return asked.select(F.monotonically_increasing_id().alias("doc"), "id", "text")
 
 
+def _key(joined: int) -> type:
+    """The type that holds a key."""
+    return np.int32 if joined < 3 else np.int64
+
+
 def _rest(joined: int) -> tuple[int, type]:
     """The bits of a key behind its table and first codeword, and the type that holds them."""
     low = 12 * (joined - 1)
     return low, np.uint16 if low <= 16 else np.uint64
 
 
-def _filings(keys: np.ndarray, joined: int) -> pa.Array:
-    """For each row of sorted keys of a table the list of ``key``, table and first codeword, with the rests of all its keys side by side; -1 is no key."""
+def _binary(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Values side by side as a column of binaries of so many values each."""
+    ends = np.concatenate([[0], np.cumsum(lengths * values.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _filings(keys: np.ndarray, many: np.ndarray, joined: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of rows with so ``many`` keys of a table each, in order, the filings: row, table with first codeword, and the rests of all keys that begin with these."""
     low, kind = _rest(joined)
-    row, flat = np.nonzero(keys >= 0)[0], keys[keys >= 0]
-    first = flat >> low
-    at = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] != first[:-1])]))
-    rest = (flat & (1 << low) - 1).astype(kind)
-    ends = (np.append(at, len(flat)) * rest.itemsize).astype(np.int32)
-    pairs = pa.StructArray.from_arrays([pa.array(first[at].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(rest)])], names=["key", "rest"])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(len(keys) + 1)).astype(np.int32)), pairs)
+    row, first = np.repeat(np.arange(len(many)), many), keys >> low
+    at = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] != first[:-1])])[:len(keys)])
+    return row[at], first[at].astype(np.int32), _binary((keys & (1 << low) - 1).astype(kind), np.diff(np.append(at, len(keys))))
 
 
 def features(texts: DataFrame, least_words: int = 20, block: int = 256, **settings: int) -> DataFrame:
-    """Of ``texts(doc, id, text)``, one row per text with at least ``least_words`` words: two hashes of its set of sequences and their number, sketch and odd hashes side by side, and the filings of each table."""
+    """Of ``texts(doc, id, text)``, one row per text with at least ``least_words`` words: two hashes of its set of sequences and their number, sketch and odd hashes side by side, and the keys of each table side by side."""
     tables = Fingerprints(**settings).tables
     names = ["doc", "id", "h1", "h2", "n", "bits", *(f"k{t}" for t in range(tables))]
 
@@ -272,10 +279,10 @@ def features(texts: DataFrame, least_words: int = 20, block: int = 256, **settin
                 bits = np.concatenate([fp.sketches(sums), fp.odd(sets)], axis=1)
                 columns = [pa.array([d for d, _, _ in found], pa.int64()), pa.array([i for _, i, _ in found], pa.string()), *(pa.array([xxhash.xxh64_intdigest(b, seed) - 2**63 for b in bodies], pa.int64()) for seed in (0, 1)),
                            pa.array([len(s) for s in sets], pa.int32()), pa.array([b.tobytes() for b in bits], pa.binary())]
-                columns += [_filings(keys[:, t], fp.joined) for t in range(tables)]
+                columns += [_binary(of[of >= 0].astype(_key(fp.joined)), (of >= 0).sum(axis=1)) for of in (keys[:, t] for t in range(tables))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kinds = ["long", "string", "long", "long", "int", "binary", *["array<struct<key: int, rest: binary>>"] * tables]
+    kinds = ["long", "string", "long", "long", "int", "binary", *["binary"] * tables]
     return texts.mapInArrow(make, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
 
@@ -394,7 +401,22 @@ def _rounds(keys: int, tables: int) -> list[list[int]]:
 
 def _met(reps: DataFrame, tables: list[int], joined: int, least: float, most_bits: int) -> DataFrame:
     """``(doc_a, doc_b)``: the records that meet under a key of ``tables`` and may be similar."""
-    filed = reps.select("doc", "n", "bits", F.inline(F.concat(*[F.col(f"k{t}") for t in tables])))
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            doc, n, bits = batch["doc"].to_numpy(), batch["n"].to_numpy(), _bytes(batch["bits"])[0].reshape(len(batch), -1)
+            each = [_bytes(batch[f"k{t}"]) for t in tables]
+            keys = np.concatenate([np.ascontiguousarray(x).view(_key(joined)) for x, _ in each])
+            many = np.array([np.diff(ends, prepend=0) for _, ends in each]) // keys.itemsize
+            if len(tables) > 1:  # side by side, rows of one record pack well
+                keys = keys[np.argsort(np.repeat(np.tile(np.arange(len(batch)), len(tables)), many.ravel()), kind="stable")]
+            row, first, rest = _filings(keys, many.sum(axis=0), joined)
+            columns = [pa.array(doc[row]), pa.array(n[row]), _binary(bits[row], np.full(len(row), bits.shape[1])), pa.array(first), rest]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "bits", "key", "rest"])
+
+    filed = reps.select("doc", "n", "bits", *[f"k{t}" for t in tables]).mapInArrow(file, "doc long, n int, bits binary, key int, rest binary")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, n, bits, key, at in _whole_keys(batches, joined):

@@ -193,7 +193,8 @@ def test_meeting_is_sharing_a_key(monkeypatch):
         words = [fp.words(" ".join(rng.sample(base, 45))) for _ in range(120)]
         keys = np.sort(fp.keys(fp.sums(words)).reshape(len(words), 4, -1), axis=-1)
         true = {(i, j) for i, j in combinations(range(len(words)), 2) if {*keys[i].ravel().tolist()} & {*keys[j].ravel().tolist()} - {-1}}
-        rows = [(key["key"], i, 45, bytes(48), key["rest"]) for t in range(4) for i, x in enumerate(neardup._filings(keys[:, t], joined).to_pylist()) for key in x]
+        filed = [neardup._filings(of[of >= 0], (of >= 0).sum(axis=1), joined) for of in (keys[:, t] for t in range(4))]
+        rows = [(first, row, 45, bytes(48), rest) for x in filed for row, first, rest in zip(x[0].tolist(), x[1].tolist(), x[2].to_pylist())]
         rows.sort(key=lambda r: r[0])
         assert len(rows) < (keys >= 0).sum()
         batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at:at + 50]], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["key", "doc", "n", "bits", "rest"]) for at in range(0, len(rows), 50)]
